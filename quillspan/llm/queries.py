@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm import mixing, tokens
 from quillspan.llm import toxicity as tox
 
 
@@ -29,5 +30,49 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {}
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.read_tokens(tokens.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+QUERIES = {"op5_token_ids": op5_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+ORACLES: dict[str, str] = {
+    "op9_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source, coalesce(text, '') AS t,
+                 len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size
+          FROM documents),
+        k AS (
+          SELECT doc_id, source, size,
+                 -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':1'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
+                 / greatest(0.1, 1.0 - 4.0 * (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g'))) / greatest(length(t), 1)) AS es
+          FROM d),
+        s AS (
+          SELECT source, sum(size)::BIGINT AS source_size,
+                 ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w
+          FROM k GROUP BY source),
+        l AS (
+          SELECT *, 3.0 * source_size AS c,
+                 (sum(source_size) OVER () - coalesce(sum(3.0 * source_size) OVER p, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0.0)) AS level
+          FROM s WINDOW p AS (ORDER BY 3.0 * source_size / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        g AS (
+          SELECT source, source_size,
+                 CASE WHEN c / w <= level THEN c ELSE min(CASE WHEN c / w > level THEN level END) OVER () * w END AS target
+          FROM l),
+        e AS (
+          SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
+        b AS (
+          SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest,
+                 coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY es, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size, source_size, round(target, 3) AS target,
+               ((epochs + CASE WHEN size > 0 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+        FROM b""",
+}

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.llm import kernel
 
@@ -133,5 +134,5 @@ def toxicity(docs: DataFrame, model: dict, text: str = "text", threshold: float
             s = score(batch.column(kept.index(text)), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array(s >= threshold)], [*kept, score_as, flag_as])
 
-    schema = own.schema.add(score_as, "double").add(flag_as, "boolean")
+    schema = T.StructType([*own.schema, T.StructField(score_as, T.DoubleType()), T.StructField(flag_as, T.BooleanType())])
     return own.mapInArrow(run, schema)
