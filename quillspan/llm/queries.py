@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import mixing, tokens
+from quillspan.llm import mixing, ngram_join, tokens
 from quillspan.llm import toxicity as tox
 
 
@@ -30,6 +30,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +46,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES = {"op5_token_ids": op5_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op3_ngram_join": op3_ngram_join, "op5_token_ids": op5_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {
     "op9_mixing": r"""
         WITH d AS (
