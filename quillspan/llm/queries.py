@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import mixing, ngram_join, tokens
+from quillspan.llm import decontaminate, mixing, ngram_join, tokens
 from quillspan.llm import toxicity as tox
 
 
@@ -30,6 +30,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    sha = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", sha.alias("items_sha256"), "contaminated")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -46,8 +52,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES = {"op3_ngram_join": op3_ngram_join, "op5_token_ids": op5_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_ngram_join": op3_ngram_join, "op5_token_ids": op5_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": r"""
+        WITH d AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+          FROM documents),
+        b AS (
+          SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws
+          FROM benchmark),
+        win AS (
+          SELECT DISTINCT item_id, array_to_string(list_slice(ws, i, i + 7), ' ') AS w, least(len(ws), 8) AS n
+          FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(len(ws) - 7, 1))) AS i FROM b WHERE len(ws) > 0)),
+        pos AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM d),
+        occ AS (
+          SELECT pos.doc_id, pos.i, win.n, win.item_id
+          FROM pos CROSS JOIN (SELECT DISTINCT n FROM win) z
+          JOIN win ON win.n = z.n AND win.w = array_to_string(list_slice(pos.ws, pos.i, pos.i + z.n - 1), ' ')
+          WHERE pos.i + z.n - 1 <= len(pos.ws)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM occ) GROUP BY doc_id),
+        items AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op9_mixing": r"""
         WITH d AS (
           SELECT doc_id, source, coalesce(text, '') AS t,
