@@ -20,6 +20,7 @@ from quillspan.llm import store
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Limits of a rule's accuracy: better than chance, so that good and bad keep their meaning, and short of certain.
 ACCURACY = (0.55, 0.99)
+BELIEF, WEIGHT = 0.97, 3.0
 ROUNDS = 25
 
 
@@ -107,9 +108,12 @@ def log_odds(prior: float, accuracy: dict[str, float]) -> Column:
 def estimate(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, float]]:
     """Share of good documents and accuracies, from counts of vote patterns (3 ** rules at most), by EM.
 
-    A round is one aggregate that returns one row. Without rows the start is kept.
+    A rule that votes alone cannot be judged by its peers, and plain EM would take
+    such votes for errors of the commoner class. So each accuracy has a Beta prior
+    of mean ``BELIEF`` that counts ``WEIGHT`` times its own votes, and the share of
+    good is held within 0.2 to 0.8. A round is one aggregate that returns one row. Without rows the start is kept.
     """
-    prior, accuracy = 0.8, dict.fromkeys(rules, 0.9)
+    prior, accuracy = 0.8, dict.fromkeys(rules, BELIEF)
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-log_odds(prior, accuracy)))
         weighed = patterns.withColumn("p", p)
@@ -119,10 +123,10 @@ def estimate(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tup
         if not row["all"]:
             break
         was = (prior, *accuracy.values())
-        prior = min(0.95, max(0.05, row["good"] / row["all"]))
+        prior = min(0.8, max(0.2, row["good"] / row["all"]))
         for r in rules:
             if row[f"n_{r}"]:
-                accuracy[r] = min(ACCURACY[1], max(ACCURACY[0], (row[f"r_{r}"] + 9) / (row[f"n_{r}"] + 10)))
+                accuracy[r] = min(ACCURACY[1], max(ACCURACY[0], (row[f"r_{r}"] / row[f"n_{r}"] + WEIGHT * BELIEF) / (1 + WEIGHT)))
         if max(abs(x - y) for x, y in zip(was, (prior, *accuracy.values()), strict=True)) < 1e-4:
             break
     return prior, accuracy
