@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, mixing, ngram_join, quality, tokens
+from quillspan.llm import decontaminate, mixing, ngram_join, quality, substring, tokens
 from quillspan.llm import toxicity as tox
 
 
@@ -55,12 +55,17 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(tokens.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op5_token_ids": op5_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op5_token_ids": op5_token_ids, "op6_substring_dedup": op6_substring_dedup, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
         WITH d AS (
@@ -85,6 +90,17 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_substring_dedup": r"""
+        WITH d AS (
+          SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h
+                FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM d)),
+        later AS (SELECT doc_id, i FROM win JOIN (SELECT h, min(doc_id) AS f FROM win GROUP BY h) USING (h) WHERE doc_id > f),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM later),
+        word AS (SELECT doc_id, unnest(generate_series(1, len(ws))) AS p, unnest(ws) AS w FROM d),
+        kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op9_mixing": r"""
         WITH d AS (
           SELECT doc_id, source, coalesce(text, '') AS t,
