@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, mixing, ngram_join, quality, substring, tokens
+from quillspan.llm import decontaminate, langid, mixing, ngram_join, quality, substring, tokens
 from quillspan.llm import toxicity as tox
 
 
@@ -48,6 +48,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +72,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op5_token_ids": op5_token_ids, "op6_substring_dedup": op6_substring_dedup, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_language_id": op4_language_id, "op5_token_ids": op5_token_ids, "op6_substring_dedup": op6_substring_dedup, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
         WITH d AS (
