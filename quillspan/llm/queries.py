@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, langid, mixing, ngram_join, quality, substring, tokens
+from quillspan.llm import decontaminate, langid, lm_score, mixing, ngram_join, quality, substring, tokens
 from quillspan.llm import toxicity as tox
 
 
@@ -67,12 +67,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = lm_score.lm_score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_language_id": op4_language_id, "op5_token_ids": op5_token_ids, "op6_substring_dedup": op6_substring_dedup, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_language_id": op4_language_id, "op5_token_ids": op5_token_ids, "op6_substring_dedup": op6_substring_dedup, "op7_lm_score": op7_lm_score, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
         WITH d AS (
