@@ -83,6 +83,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # the words of document d are first[d]:first[d + 1], d from 0
+    bounds: np.ndarray  # its bytes are data[bounds[d]:bounds[d + 1]]
 
     def hashes(self, which: int = 0) -> np.ndarray:
         return span_hashes(_bytes_table(which + 1)[self.data], self.start, self.end, which)
@@ -127,7 +128,7 @@ def words(column: pa.Array, lower: bool = False, limit: int = CHUNK, space: np.n
         after[bounds] = False
         start = np.flatnonzero(word & ~before[:-1])
         end = np.flatnonzero(word & ~after[1:]) + 1
-        yield Words(lo, hi, own, start, end, np.searchsorted(start, bounds))
+        yield Words(lo, hi, own, start, end, np.searchsorted(start, bounds), bounds)
 
 
 def shingle_hashes(w: Words, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:

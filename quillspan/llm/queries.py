@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, langid, lm_score, mixing, ngram_join, quality, substring, tokens
+from quillspan.llm import decontaminate, langid, lines, lm_score, mixing, ngram_join, quality, substring, tokens
 from quillspan.llm import toxicity as tox
 
 
@@ -73,12 +73,18 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.array_join(F.transform("removed", lambda x: x.cast("string")), ","), 256)
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), digest.alias("removed_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_language_id": op4_language_id, "op5_token_ids": op5_token_ids, "op6_substring_dedup": op6_substring_dedup, "op7_lm_score": op7_lm_score, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_language_id": op4_language_id, "op5_token_ids": op5_token_ids, "op6_substring_dedup": op6_substring_dedup, "op7_lm_score": op7_lm_score, "op8_line_dedup": op8_line_dedup, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {
     "op1_decontaminate": r"""
         WITH d AS (
