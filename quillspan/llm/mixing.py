@@ -42,7 +42,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     of sizes. No target passes ``cap`` times its size; the excess is shared by
     weight among the rest. A source is capped if, with sources in order of
     cap / weight, the level reached after capping all before it still exceeds its
-    own ratio. One row a source; a window over all of them.
+    own ratio; the levels after the first source that is not capped only fall, so
+    the greatest of them is the one all share. One row a source; a window over all of them.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
@@ -52,12 +53,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     by_ratio = Window.orderBy("r", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     spent, gone = F.coalesce(F.sum("c").over(by_ratio), F.lit(0.0)), F.coalesce(F.sum("w").over(by_ratio), F.lit(0.0))
     rows = rows.withColumn("level", (total - spent) / (everyone - gone)).withColumn("capped", F.col("r") <= F.col("level"))
-    level = F.min(F.when(~F.col("capped"), F.col("level"))).over(Window.partitionBy())
+    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(Window.partitionBy())
     return rows.select("source", "source_size", F.when(F.col("capped"), F.col("c")).otherwise(level * F.col("w")).alias("target"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 1, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, epochs, extra and taken (words).
+    """One row a document: doc_id, text_hash, source, size, source_size, target, epochs, extra and taken (words).
 
     Null or empty texts have size 0 and are taken in whole epochs only; null
     sources are one source; a null key hashes as "null"; equal keys with equal
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     so that a source with most of the rows is spread over many tasks.
     """
     base = docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("text_hash"),
         (-F.log(unit_hash(F.col(key), seed)) / quality(F.col(text))).alias("es_key"),
     ).withColumn("range", F.floor((1 - F.exp(-F.col("es_key"))) * RANGES).cast("int"))
     ranges = base.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
@@ -87,5 +88,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("g")))
     extra = (F.col("size") > 0) & (F.col("before") + F.col("inner") + F.col("size") / 2.0 <= F.col("rest"))
     return rows.withColumn("extra", extra.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", "extra",
+        "doc_id", "text_hash", "source", "size", "source_size", "target", "epochs", "extra",
         ((F.col("epochs") + F.col("extra")) * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: epochs, and once more if it is an extra.
+
+    Rows of equal key and text are taken equally often. All columns are kept.
+    """
+    plan = mix(docs, key, text, **settings).groupBy("doc_id", "text_hash").agg(F.max(F.col("epochs") + F.col("extra")).cast("int").alias("_times"))
+    plan = plan.where("_times > 0").withColumnsRenamed({"doc_id": "_key", "text_hash": "_hash"})
+    joined = docs.join(plan, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_hash")))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")).drop("_turn")

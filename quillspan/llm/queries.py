@@ -140,7 +140,7 @@ ORACLES: dict[str, str] = {
           FROM s WINDOW p AS (ORDER BY 3.0 * source_size / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         g AS (
           SELECT source, source_size,
-                 CASE WHEN c / w <= level THEN c ELSE min(CASE WHEN c / w > level THEN level END) OVER () * w END AS target
+                 CASE WHEN c / w <= level THEN c ELSE max(CASE WHEN c / w > level THEN level END) OVER () * w END AS target
           FROM l),
         e AS (
           SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM g),
