@@ -121,7 +121,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                 a, b = kernel.span_hashes(one, start, start + length), kernel.span_hashes(two, start, start + length, 1)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[w.lo + doc]), pa.array(at.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "at", "a", "b"])
 
-    opened = own.join(open_, "doc_id").mapInArrow(extend, "doc_id long, at int, a long, b long")
+    opened = own.join(open_.hint("merge"), "doc_id").mapInArrow(extend, "doc_id long, at int, a long, b long")
     opened = store.staged(opened, "windows")
     least = opened.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     later = opened.join(least, ["a", "b"]).where("doc_id > first").select("doc_id", F.struct(F.col("at").alias("lo"), F.col("at").alias("hi")).alias("r"))
@@ -153,7 +153,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                     batch.column(0).slice(w.lo, len(n)), pa.array(spans, SPANS),
                     pa.array(n), pa.array(gone, pa.int64()), pa.array([x.decode() for x in kept])], NAMES)
 
-    return own.join(removed, "doc_id", "left").mapInArrow(cut, OUT)
+    return own.join(removed.hint("merge"), "doc_id", "left").mapInArrow(cut, OUT)
 
 
 SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
