@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +88,6 @@ def split_recursive(text: str | None, size: int, overlap: int, separators: tuple
 
 def chunk_documents(docs: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
     """(key, position, chunk) by ``split_recursive``, batch by batch."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_recursive(t, size, overlap))

@@ -2,5 +2,503 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.functions import parsing, similarity, text
+from quillspan.operators import chunking, dense, evalset, fusion, metrics, ocr, sparse
+from quillspan.plans import retrieval
+from quillspan.sources import readers
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Shared pieces of SQL.
+NORM = "trim(lower(regexp_replace(coalesce({0}, ''), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')))"
+BAG = f"list_filter(string_split({NORM}, ' '), lambda w: w <> '')"
+SEARCH = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+# --- text functions -----------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {NORM.format('text')} AS norm, len({BAG.format('text')})::BIGINT AS n_tokens, len(list_distinct({BAG.format('text')}))::BIGINT AS n_types FROM documents")
+def normalize_tokens(spark, d):
+    return table(spark, d, "documents").select(
+        "doc_id", text.normalize_match("text").alias("norm"), F.size(text.token_bag("text")).cast("long").alias("n_tokens"), F.size(text.token_set("text")).cast("long").alias("n_types"))
+
+
+def _chain(c: str, rules: list[tuple[str, str]]) -> str:
+    for a, b in rules:
+        c = f"regexp_replace({c}, '{a}', '{b}', 'g')"
+    return STRIP.format(c)
+
+
+LF = "' || chr(10) || '"
+_T = "coalesce(text, '')"
+
+
+@query(f"""SELECT doc_id,
+  md5({_chain(_T, [(chr(13) + chr(10) + "?", chr(10)), (chr(9), " "), ("[ ]+(" + chr(10) + ")", r"\1"), (" {2,}", " "), (chr(10) + "{3,}", chr(10) * 2)])}) AS lines,
+  md5({_chain(_T, [(chr(13) + chr(10) + "?", chr(10)), ("[ " + chr(9) + "]+", " "), (chr(10) + "{3,}", chr(10) * 2)])}) AS paragraphs,
+  md5({_chain(_T, [("[ " + chr(9) + "]+", " "), (chr(10) + "{3,}", chr(10) * 2), (" +" + chr(10), chr(10))])}) AS scan
+FROM documents""")
+def whitespace_forms(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.md5(text.tidy_lines("text")).alias("lines"), F.md5(text.tidy_paragraphs("text")).alias("paragraphs"), F.md5(text.tidy_scan("text")).alias("scan"))
+
+
+# A text made awkward on purpose: every clean-up rule has something to do in every document.
+DIRTY_SQL = "'«' || replace(replace(coalesce(text, ''), 'tion ', 'ti-' || chr(10) || ' on '), 'the ', '‘the’  ') || '{12} ¬ ■ —' || chr(10) || ' ' || chr(10) || chr(10) || chr(10) || 'end {3}'"
+
+
+def _dirty(c: str = "text"):
+    t = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("tion "), F.lit("ti-\n on ")), F.lit("the "), F.lit("‘the’  "))
+    return F.concat(F.lit("«"), t, F.lit("{12} ¬ ■ —\n \n\n\nend {3}"))
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_replace({DIRTY_SQL}, '([\\p{{L}}\\p{{N}}_]+)[¬-]\\s*\\n\\s*([\\p{{L}}\\p{{N}}_]+)', '\\1\\2', 'g') AS t FROM documents),
+b AS (SELECT doc_id, translate(regexp_replace(replace(t, '¬', ''), '[«»■□❑]\\s*', '', 'g'), '‘’“”–—' || chr(160), '''''""-- ') AS t FROM a),
+c AS (SELECT doc_id, t, regexp_replace(t, '\\{{\\d+\\}}', '', 'g') AS m FROM b)
+SELECT doc_id, md5({_chain("t", [("[ " + chr(9) + "]+", " "), (chr(10) + "{3,}", chr(10) * 2), (" +" + chr(10), chr(10))])}) AS cleaned,
+  md5({_chain("m", [("[ " + chr(9) + "]+", " "), (chr(10) + "{3,}", chr(10) * 2), (" +" + chr(10), chr(10))])}) AS without_markers FROM c""")
+def ocr_tier1(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", _dirty().alias("t"))
+    return docs.select("doc_id", F.md5(text.clean_scan("t")).alias("cleaned"), F.md5(text.clean_scan("t", markers=True)).alias("without_markers"))
+
+
+def _records(spark, d):
+    """Documents as source records: some without a title or a volume, every third with a footnote and one marker that has none."""
+    third = F.col("doc_id") % 3 == 0
+    return table(spark, d, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Title "), F.col("doc_id").cast("string"))).alias("title"), F.lit("letter").alias("document_type"),
+        F.lit("1920").alias("document_date"), F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 9).cast("string")).alias("volume"), F.col("doc_id").cast("string").alias("section"),
+        "source", F.col("lang").alias("original_language"), F.concat(F.col("text"), F.when(third, F.lit(" {1} and {2}")).otherwise("")).alias("contents"),
+        F.when(third, F.create_map(F.lit("1"), F.lit("a note"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("footnotes"))
+
+
+RECORDS_SQL = """r AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'Title ' || doc_id END AS title, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 9)::VARCHAR END AS volume,
+  source, lang, doc_id % 3 = 0 AS third, text || CASE WHEN doc_id % 3 = 0 THEN ' {1} and {2}' ELSE '' END AS contents FROM documents)"""
+BAR_SQL = "repeat('=', 40)"
+ENTRY_SQL = f"""{BAR_SQL} || chr(10) || '[METADATA]' || chr(10) || 'Title: ' || coalesce(title, 'N/A') || chr(10) || 'Document Type: letter' || chr(10) || 'Date: 1920' || chr(10)
+  || 'Volume: ' || coalesce(volume, 'N/A') || ' | Section: ' || doc_id || chr(10) || 'Source: ' || coalesce(source, 'N/A') || chr(10) || 'Original Language: ' || coalesce(lang, 'N/A')
+  || chr(10) || chr(10) || '[CONTENT]' || chr(10) || {STRIP.format("CASE WHEN third THEN replace(contents, '{1}', '[1]') || chr(10) || chr(10) || 'FOOTNOTES / EXPLANATORY NOTES:' || chr(10) || '[1] a note' ELSE contents END")}
+  || chr(10) || {BAR_SQL}"""
+
+
+def _entries(spark, d):
+    r = _records(spark, d)
+    fields = ("title", "document_type", "document_date", "volume", "section", "source", "original_language")
+    return r.select("doc_id", text.record_text({k: F.col(k) for k in fields}, text.bracket_footnotes("contents", "footnotes")).alias("entry"))
+
+
+@query(f"WITH {RECORDS_SQL} SELECT doc_id, md5({ENTRY_SQL}) AS entry FROM r")
+def format_records(spark, d):
+    return _entries(spark, d).select("doc_id", F.md5("entry").alias("entry"))
+
+
+@query(f"""WITH {RECORDS_SQL}, n AS (SELECT doc_id, coalesce(title, '') AS t, CASE WHEN third THEN replace(replace(contents, '{{1}}', ' a note '), '{{2}}', ' {{2}} ') ELSE contents END AS c FROM r)
+SELECT doc_id, md5(c) AS inlined, md5({_chain("'The document titled ''' || t || ''' was created on 1920. The content of the document with the title ''' || t || ''' is as follows: ' || c || '. The document with the content ''' || c || ''' was created on 1920. ' || chr(10)", [(" {2,}", " "), (" +" + chr(10), chr(10)), (chr(10) + "{3,}", chr(10) * 2)])}) AS told FROM n""")
+def narrative_records(spark, d):
+    r = _records(spark, d).withColumn("c", text.inline_footnotes("contents", "footnotes"))
+    return r.select("doc_id", F.md5("c").alias("inlined"), F.md5(text.narrative_text(F.col("title"), F.col("document_date"), F.col("c"))).alias("told"))
+
+
+@query(f"""WITH {RECORDS_SQL}, e AS (SELECT doc_id, string_split({ENTRY_SQL}, {BAR_SQL}) AS bs FROM r),
+b AS (SELECT unnest(bs) AS b, unnest(generate_series(0, len(bs) - 1)) AS idx FROM e), s AS (SELECT idx, {STRIP.format("b")} AS b FROM b)
+SELECT idx::INTEGER AS idx, 'doc_v' || coalesce(nullif(regexp_extract(b, 'Volume:\\s*(\\d+)', 1), ''), '0') || '_s' || coalesce(nullif(regexp_extract(b, 'Section:\\s*(\\d+)', 1), ''), (idx + 1)::VARCHAR) AS doc_id,
+  {STRIP.format("coalesce(nullif(regexp_extract(b, 'Title:\\s*([^\\n]+)', 1), ''), 'Document ' || (idx + 1))")} AS title, md5(b) AS full_text FROM s WHERE length(b) >= 50""")
+def corpus_blocks(spark, d):
+    return readers.corpus_blocks(_entries(spark, d), "entry").select("idx", "doc_id", "title", F.md5("full_text").alias("full_text"))
+
+
+# --- chunks -------------------------------------------------------------------------------
+
+_FOLD = """list_reduce(list_prepend({'done': CAST([] AS VARCHAR[]), 'cur': ''}, list_transform(ps, lambda p: {'done': CAST([p] AS VARCHAR[]), 'cur': ''})),
+  lambda a, x: CASE WHEN length(a.cur) + length(x.done[1]) + 2 <= 600 THEN {'done': a.done, 'cur': a.cur || x.done[1] || chr(10) || chr(10)}
+  ELSE {'done': CASE WHEN a.cur = '' THEN a.done ELSE list_append(a.done, a.cur) END, 'cur': x.done[1] || chr(10) || chr(10)} END)"""
+CHUNKS_SQL = f"""p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS ps FROM documents),
+f AS (SELECT doc_id, {_FOLD} AS a FROM p),
+c AS (SELECT doc_id, list_transform(CASE WHEN a.cur = '' THEN a.done ELSE list_append(a.done, a.cur) END, lambda x: {STRIP.format('x')}) AS cs FROM f)"""
+
+
+def _chunks(spark, d, overlap=0):
+    packed = table(spark, d, "documents").select("doc_id", chunking.pack_paragraphs(F.col("text"), 600, "\n").alias("cs"))
+    return packed.select("doc_id", F.posexplode(chunking.with_overlap(F.col("cs"), overlap)).alias("pos", "chunk"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id, unnest(generate_series(0, len(cs) - 1))::INTEGER AS pos, unnest(cs) AS chunk FROM c WHERE len(cs) > 0")
+def chunk_paragraphs(spark, d):
+    return _chunks(spark, d)
+
+
+@query(f"""WITH {CHUNKS_SQL}, u AS (SELECT doc_id, unnest(generate_series(0, len(cs) - 1))::INTEGER AS pos, unnest(cs) AS chunk FROM c WHERE len(cs) > 0)
+SELECT doc_id, pos, CASE WHEN pos > 0 THEN right(lag(chunk) OVER (PARTITION BY doc_id ORDER BY pos), 100) || chr(10) || chr(10) || chunk ELSE chunk END AS chunk FROM u""")
+def chunk_overlap(spark, d):
+    return _chunks(spark, d, 100)
+
+
+@query("SELECT doc_id, unnest(generate_series(0, (length(text) - 1) // 400))::INTEGER AS pos, substr(text, 1 + 400 * unnest(generate_series(0, (length(text) - 1) // 400)), 500) AS chunk FROM documents WHERE length(text) > 0")
+def chunk_slices(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.slices(F.col("text"), 500, 400)).alias("pos", "chunk"))
+
+
+@query()
+def chunk_recursive(spark, d):
+    return chunking.chunk_documents(table(spark, d, "documents"), "doc_id", "text", 600, 200)
+
+
+# --- keyword retrieval --------------------------------------------------------------------
+
+QUESTION_SQL = f"q AS (SELECT item_id AS query_id, array_to_string(list_slice({BAG.format('text')}, 1, 8), ' ') AS query, text AS gold FROM benchmark)"
+
+
+def _questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.token_bag("text"), 1, 8), " ").alias("query"), F.col("text").alias("gold"))
+
+
+TF_SQL = f"tok AS (SELECT doc_id, {SEARCH.format('text')} AS ts FROM documents), tf AS (SELECT doc_id, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM tok) GROUP BY doc_id, ts, term)"
+QT_SQL = f"{QUESTION_SQL}, qt AS (SELECT query_id, term, count(*)::DOUBLE AS qw FROM (SELECT query_id, unnest({SEARCH.format('query')}) AS term FROM q) GROUP BY ALL)"
+BM25_SQL = f"""{TF_SQL}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
+idf0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st), idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
+w AS (SELECT doc_id AS chunk_id, tf.term, idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) AS weight FROM tf JOIN idf USING (term), st)"""
+SCORE_SQL = "s AS (SELECT query_id, chunk_id, round(sum(qw * weight), 9) AS score FROM qt JOIN w USING (term) GROUP BY ALL)"
+TOP_SQL = "top AS (SELECT * FROM (SELECT query_id, chunk_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INTEGER AS rank FROM s) WHERE rank < {0})"
+
+
+@query(f"WITH {TF_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
+def term_statistics(spark, d):
+    return sparse.term_counts(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"WITH {TF_SQL} SELECT count(*) AS n_docs, round(avg(len(ts)), 6) AS avgdl FROM tok")
+def corpus_statistics(spark, d):
+    return sparse.corpus_stats(table(spark, d, "documents"), "text").select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _bm25(spark, d, k):
+    index = sparse.bm25_index(table(spark, d, "documents"), "doc_id", "text")
+    return sparse.top_k(sparse.sparse_scores(sparse.query_terms(_questions(spark, d), "query_id", "query"), index), k)
+
+
+@query(f"WITH {QT_SQL}, {BM25_SQL}, {SCORE_SQL}, {TOP_SQL.format(5)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top")
+def bm25_topk(spark, d):
+    return _bm25(spark, d, 5).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+TFIDF_SQL = f"{TF_SQL}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w AS (SELECT doc_id AS chunk_id, term, (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM documents) / df) AS weight FROM tf JOIN df USING (term))"
+
+
+def _dot(spark, d):
+    index = sparse.tfidf_index(table(spark, d, "documents"), "doc_id", "text")
+    return sparse.sparse_scores(sparse.query_terms(_questions(spark, d), "query_id", "query"), index)
+
+
+@query(f"WITH {QT_SQL}, {TFIDF_SQL}, {SCORE_SQL}, {TOP_SQL.format(10)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top")
+def sparse_dot_topk(spark, d):
+    return sparse.top_k(_dot(spark, d), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {QT_SQL}, {TFIDF_SQL}, s0 AS (SELECT query_id, chunk_id, round(sum(qw * weight), 9) AS score FROM qt JOIN w USING (term) GROUP BY ALL),
+s AS (SELECT q.query_id, doc_id AS chunk_id, coalesce(score, 0.0) AS score FROM q CROSS JOIN documents LEFT JOIN s0 ON s0.query_id = q.query_id AND s0.chunk_id = doc_id), {TOP_SQL.format(10)}
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top""")
+def sparse_scan_topk(spark, d):
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"))
+    top = sparse.scan_top_k(_dot(spark, d), _questions(spark, d), chunks, 10)
+    return top.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+# --- dense retrieval ----------------------------------------------------------------------
+
+COS_SQL = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_dot_product(q.e, c.e) / (q.n * c.n), 6) AS score FROM n q, n c WHERE q.vec_id % 100 = 0)"""
+
+
+def _dense(spark, d, k):
+    v = table(spark, d, "embeddings")
+    asked = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return dense.dense_top_k(asked, v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), k)
+
+
+@query(f"WITH {COS_SQL}, {TOP_SQL.format(10)} SELECT * FROM top")
+def dense_topk(spark, d):
+    return _dense(spark, d, 10)
+
+
+@query(f"WITH {COS_SQL}, {TOP_SQL.format(10)} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1)::INTEGER AS rank, chunk_id FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM top WHERE rank > 0) WHERE score >= 0.3 OR (m < 0.3 AND rank = 1)")
+def relevance_filter(spark, d):
+    lists = _dense(spark, d, 10).where("rank > 0").withColumn("source", F.lit("dense"))
+    return fusion.filter_relevant(lists, 0.3).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id")
+
+
+@query(f"""WITH {COS_SQL}, {TOP_SQL.format(26)}, r AS (SELECT query_id, min(rank) AS r FROM top JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = chunk_id
+WHERE a.label = b.label AND query_id <> chunk_id AND rank <= 25 GROUP BY query_id)
+SELECT count(*) AS questions, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 100 = 0) LEFT JOIN r USING (query_id)""")
+def mrr_recall(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    ranked = _dense(spark, d, 26).where("query_id <> chunk_id").select("query_id", "chunk_id", (F.col("rank") - 1).alias("rank"))
+    asked = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label")
+    expected = asked.join(v.select(F.col("vec_id").alias("chunk_id"), "label"), "label").select("query_id", "chunk_id")
+    return metrics.reciprocal_ranks(expected, ranked)
+
+
+# --- fusion, near-duplicates, stages ------------------------------------------------------
+
+HYBRID_SQL = f"""{COS_SQL}, dt AS (SELECT * FROM (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INTEGER AS rank FROM s) WHERE rank < 15),
+qt AS (SELECT query_id, term, count(*)::DOUBLE AS qw FROM (SELECT vec_id AS query_id, unnest({SEARCH.format("array_to_string(list_slice(" + BAG.format('text') + ", 1, 12), ' ')")}) AS term FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 100 = 0) GROUP BY ALL),
+{BM25_SQL}, ss AS (SELECT query_id, chunk_id, round(sum(qw * weight), 9) AS score FROM qt JOIN w USING (term) GROUP BY ALL),
+stp AS (SELECT * FROM (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INTEGER AS rank FROM ss) WHERE rank < 15),
+l AS (SELECT query_id, 1 AS so, rank, chunk_id, text FROM dt JOIN documents ON chunk_id = doc_id UNION ALL SELECT query_id, 2, rank, chunk_id, text FROM stp JOIN documents ON chunk_id = doc_id)"""
+FUSE_SQL = """(SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f) - 1)::INTEGER AS rank, f.chunk_id AS chunk_id, text, score
+FROM (SELECT query_id, text, round(sum({w} / (60.0 + rank + 1)), 12) AS score, min({{'so': so, 'rank': rank, 'chunk_id': chunk_id}}) AS f FROM {src} GROUP BY query_id, text))"""
+DEDUP_SQL = f"""g AS (SELECT query_id, list({{'rank': rank, 'so': so, 'chunk_id': chunk_id, 'text': text, 't': list_distinct({BAG.format('text')})}} ORDER BY rank, so) AS cs FROM l GROUP BY query_id),
+k AS (SELECT query_id, list_reduce(list_transform(cs, lambda e: [e]), lambda a, x: CASE WHEN len(list_filter(a, lambda y:
+  CASE WHEN len(y.t) = 0 OR len(x[1].t) = 0 THEN 0.0 ELSE len(list_intersect(y.t, x[1].t))::DOUBLE / least(len(y.t), len(x[1].t)) END >= 0.5)) > 0 THEN a ELSE list_append(a, x[1]) END) AS ks FROM g),
+dd AS (SELECT query_id, e.so AS so, (row_number() OVER (PARTITION BY query_id, e.so ORDER BY nth) - 1)::INTEGER AS rank, e.chunk_id AS chunk_id, e.text AS text
+  FROM (SELECT query_id, unnest(ks) AS e, unnest(generate_series(1, len(ks))) AS nth FROM k))"""
+STAGES_SQL = f"""{HYBRID_SQL}, {DEDUP_SQL}, fu AS {FUSE_SQL.format(w='1.0', src='dd')},
+st4 AS (SELECT query_id, CASE so WHEN 1 THEN 'dense' ELSE 'sparse' END AS stage, rank, chunk_id, text FROM l UNION ALL SELECT query_id, 'hybrid', rank, chunk_id, text FROM fu WHERE rank < 15
+  UNION ALL SELECT query_id, 'final', rank, chunk_id, text FROM fu WHERE rank < 7)"""
+
+
+def _hybrid_lists(spark, d):
+    docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
+    asked = docs.join(v.where(F.col("vec_id") % 100 == 0).select("vec_id"), F.col("doc_id") == F.col("vec_id"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.array_join(F.slice(text.token_bag("text"), 1, 12), " ").alias("query"))
+    keyword = sparse.top_k(sparse.sparse_scores(sparse.query_terms(asked, "query_id", "query"), sparse.bm25_index(docs, "doc_id", "text")), 15)
+    return retrieval.ranked_lists(_dense(spark, d, 15), keyword, docs.select(F.col("doc_id").alias("chunk_id"), "text"))
+
+
+def _fused(df):
+    return df.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {HYBRID_SQL} SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM {FUSE_SQL.format(w='(CASE so WHEN 1 THEN 0.7 ELSE 0.3 END)', src='l')} WHERE rank < 25")
+def rrf_weighted(spark, d):
+    return _fused(fusion.fuse(_hybrid_lists(spark, d), {"dense": 0.7, "sparse": 0.3}))
+
+
+@query(f"WITH {HYBRID_SQL} SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM {FUSE_SQL.format(w='1.0', src='l')} WHERE rank < 25")
+def rrf_unweighted(spark, d):
+    return _fused(fusion.fuse(_hybrid_lists(spark, d)))
+
+
+@query(f"WITH {HYBRID_SQL}, {DEDUP_SQL} SELECT query_id, CASE so WHEN 1 THEN 'dense' ELSE 'sparse' END AS source, rank, chunk_id FROM dd")
+def greedy_dedup(spark, d):
+    return fusion.dedup_ranked(_hybrid_lists(spark, d)).select("query_id", "source", F.col("rank").cast("int").alias("rank"), "chunk_id")
+
+
+@query(f"WITH {STAGES_SQL} SELECT query_id, stage, rank, chunk_id FROM st4")
+def retrieve_stages(spark, d):
+    return retrieval.retrieve_stages(_hybrid_lists(spark, d)).select("query_id", "stage", F.col("rank").cast("int").alias("rank"), "chunk_id")
+
+
+def _hit_sql(gold: str, chunk: str) -> str:
+    g, c = NORM.format(gold), NORM.format(chunk)
+    gs = f"list_distinct({BAG.format(gold)})"
+    return f"(contains({c}, {g}) OR CASE WHEN len({gs}) = 0 THEN false ELSE len(list_intersect({gs}, list_distinct({BAG.format(chunk)})))::DOUBLE / len({gs}) >= 0.5 END)"
+
+
+HITS_SQL = f"""{STAGES_SQL}, h AS (SELECT query_id, stage, bool_or({_hit_sql('d.text', 'st4.text')}) AS hit FROM st4 JOIN documents d ON d.doc_id = query_id GROUP BY ALL),
+hits AS (SELECT query_id, {', '.join(f"coalesce(bool_or(hit) FILTER (stage = '{s}'), false) AS {s}_hit" for s in metrics.STAGES)} FROM h GROUP BY query_id)"""
+
+
+def _hits(spark, d):
+    docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
+    gold = docs.join(v.where(F.col("vec_id") % 100 == 0), F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("query_id"), F.col("text").alias("gold"))
+    return metrics.stage_hits(gold, retrieval.retrieve_stages(_hybrid_lists(spark, d)))
+
+
+@query(f"WITH {HITS_SQL} SELECT *, hybrid_hit AND NOT final_hit AS dropped_by_critique FROM hits")
+def stage_hits(spark, d):
+    return _hits(spark, d)
+
+
+@query(f"WITH {HITS_SQL} SELECT count(*) AS questions, {', '.join(f'count_if({s}_hit)::BIGINT AS {s}_hits, round(avg({s}_hit::INTEGER), 6) AS {s}_rate' for s in metrics.STAGES)} FROM hits")
+def stage_hit_rates(spark, d):
+    return metrics.hit_rates(_hits(spark, d))
+
+
+@query(f"WITH {HITS_SQL} SELECT query_id, {', '.join(f'round(avg({s}_hit::INTEGER) OVER (ORDER BY query_id), 6) AS {s}_rate' for s in metrics.STAGES)} FROM hits")
+def running_rates(spark, d):
+    return metrics.running_rates(_hits(spark, d))
+
+
+@query(f"WITH {HITS_SQL} SELECT *, hybrid_hit AND NOT final_hit AS dropped_by_critique FROM hits WHERE NOT final_hit")
+def failed_cases(spark, d):
+    return metrics.failures(_hits(spark, d))
+
+
+@query(f"""WITH {QT_SQL}, {BM25_SQL}, {SCORE_SQL}, {TOP_SQL.format(5)} SELECT query_id, chunk_id, rank, {_hit_sql('gold', 'text')} AS hit FROM top JOIN q USING (query_id) JOIN documents ON doc_id = chunk_id""")
+def bm25_hit_check(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    top = _bm25(spark, d, 5).join(docs, "chunk_id").join(_questions(spark, d).select("query_id", "gold"), "query_id")
+    return top.select("query_id", "chunk_id", "rank", metrics.hit(F.col("gold"), F.col("text")).alias("hit"))
+
+
+_G, _C = NORM.format("gold"), NORM.format("text")
+_GS, _CS = f"list_distinct({BAG.format('gold')})", f"list_distinct({BAG.format('text')})"
+
+
+@query(f"""WITH {QT_SQL}, {BM25_SQL}, {SCORE_SQL}, {TOP_SQL.format(5)} SELECT query_id, chunk_id, {_G} <> '' AND (contains({_C}, {_G}) OR ({_C} <> '' AND contains({_G}, {_C}))
+  OR CASE WHEN len({_CS}) = 0 THEN false ELSE len(list_intersect({_GS}, {_CS}))::DOUBLE / least(len({_GS}), len({_CS})) >= 0.5 END) AS hit,
+  round(CASE WHEN len({_GS}) = 0 OR len({_CS}) = 0 THEN 0.0 ELSE len(list_intersect({_GS}, {_CS}))::DOUBLE / least(len({_GS}), len({_CS})) END, 6) AS overlap
+  FROM top JOIN q USING (query_id) JOIN documents ON doc_id = chunk_id""")
+def symmetric_hit_check(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    top = _bm25(spark, d, 5).join(docs, "chunk_id").join(_questions(spark, d).select("query_id", "gold"), "query_id")
+    share = similarity.overlap_smaller(text.token_set("gold"), text.token_set("text"))
+    return top.select("query_id", "chunk_id", metrics.hit(F.col("gold"), F.col("text"), symmetric=True).alias("hit"), F.round(share, 6).alias("overlap"))
+
+
+# --- generation metrics -------------------------------------------------------------------
+
+PAIRS_SQL = "pr AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS a FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
+F1_SQL = f"""{PAIRS_SQL}, k AS (SELECT conv_id, turn, {BAG.format('a')} AS x, {BAG.format('q')} AS y FROM pr),
+cx AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(x) AS w FROM k) GROUP BY ALL), cy AS (SELECT conv_id, turn, w, count(*) AS m FROM (SELECT conv_id, turn, unnest(y) AS w FROM k) GROUP BY ALL),
+cc AS (SELECT conv_id, turn, sum(least(n, m))::DOUBLE AS c FROM cx JOIN cy USING (conv_id, turn, w) GROUP BY ALL),
+f1 AS (SELECT conv_id, turn, coalesce(c / nullif(len(x), 0), 0) AS p, coalesce(c / nullif(len(y), 0), 0) AS r, coalesce(2 * c / nullif(len(x) + len(y), 0), 0) AS f FROM k LEFT JOIN cc USING (conv_id, turn))"""
+
+
+def _f1(spark, d):
+    c = table(spark, d, "conversations")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    pairs = u.join(a, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("k"), "q", "a")
+    return metrics.token_f1(pairs, "k", "a", "q")
+
+
+@query(f"WITH {F1_SQL} SELECT conv_id, turn, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1 FROM f1")
+def token_f1(spark, d):
+    return _f1(spark, d).select("k.conv_id", "k.turn", "precision", "recall", "f1")
+
+
+@query(f"""WITH {F1_SQL}, g AS (SELECT conv_id, turn, CASE WHEN turn % 4 <> 2 THEN round(f, 6) END AS f, turn % 4 <> 2 AS made FROM f1)
+SELECT count(*) AS questions, count_if(made)::BIGINT AS generated, round(avg(f), 6) AS mean_f1, round(coalesce(count_if(f >= 0.1) / nullif(count_if(made), 0)::DOUBLE, 0), 6) AS pass_rate,
+  round(count_if(f >= 0.1) / count(*)::DOUBLE, 6) AS end_to_end_rate, count_if(made AND turn % 4 = 0)::BIGINT AS refusals, count_if(NOT made)::BIGINT AS errors FROM g""")
+def generation_summary(spark, d):
+    made = F.col("k.turn") % 4 != 2
+    said = F.when(F.col("k.turn") % 4 == 0, F.lit("It Does not contain ENOUGH information.")).otherwise("yes")
+    rows = _f1(spark, d).select(F.when(made, said).alias("answer"), F.when(~made, "late").alias("error"), F.when(made, F.col("f1")).alias("f1"), F.lit(1.0).alias("seconds"))
+    return metrics.generation_summary(rows, 0.1).drop("mean_seconds")
+
+
+@query("""SELECT count(*) AS samples, round(coalesce(avg(quality::DOUBLE), 0), 6) AS accuracy, round(coalesce(avg(CASE WHEN doc_id % 4 <> 0 THEN toxic::DOUBLE END), 0), 6) AS context_relevance, 0.0::DOUBLE AS groundedness
+FROM labels JOIN documents USING (doc_id) WHERE trim(text) <> '' AND doc_id % 3 <> 0""")
+def judge_means(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    third = F.col("doc_id") % 3 == 0
+    rows = rows.select(
+        F.when(third & (F.col("doc_id") % 2 == 0), "No answer").otherwise(F.col("text")).alias("answer"), F.when(third & (F.col("doc_id") % 2 == 1), F.array().cast("array<string>")).otherwise(F.array("text")).alias("contexts"),
+        F.col("quality").cast("double").alias("accuracy"), F.when(F.col("doc_id") % 4 != 0, F.col("toxic").cast("double")).otherwise(F.lit(float("nan"))).alias("context_relevance"), F.lit(None).cast("double").alias("groundedness"))
+    return metrics.judge_means(rows)
+
+
+# --- responses ----------------------------------------------------------------------------
+
+# Responses of every shape that the parsers know, dealt over the benchmark's items.
+RESPONSES = [
+    "[3, 0, 2]", "<think>[9]</think> I choose [1, \"2\", '1'] then [4, 4, 9, 1]", "none", "[01, 2]", "[]", '{"selected_ids": [2, 2, 7, 0]}', '{"ids": [1]}', "ids 3 and 1 and 12", "[8, 9]", '["2", "0"]']
+
+
+def _responses(spark, d):
+    shapes = F.array(*[F.lit(r) for r in RESPONSES])
+    return table(spark, d, "benchmark").select("item_id", F.get(shapes, (F.col("item_id") % len(RESPONSES)).cast("int")).alias("response"))
+
+
+def _values(rows: list) -> str:
+    return ", ".join(f"({i}, '{x}')" for i, x in enumerate(rows))
+
+
+@query(f"SELECT item_id, ids FROM benchmark JOIN (VALUES {_values(['3,0,2', '4,4,1', '0,1,2', '0,1,2', '0,1,2', '2,2,0', '1', '0,1,2', '', '2,0'])}) t(i, ids) ON i = item_id % 10")
+def critique_parse_a(spark, d):
+    return _responses(spark, d).select("item_id", F.array_join(parsing.critique_ids(F.col("response"), F.lit(5), 3).cast("array<string>"), ",").alias("ids"))
+
+
+@query(f"SELECT item_id, ids FROM benchmark JOIN (VALUES {_values(['3,0,2', '1,2,4', '0,1,2', '1,2', '0,1,2', '2,0', '1', '3,1', '0,1,2', '2,0'])}) t(i, ids) ON i = item_id % 10")
+def critique_parse_b(spark, d):
+    return _responses(spark, d).select("item_id", F.array_join(parsing.critique_ids_strict(F.col("response"), F.lit(5), 3).cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT item_id, 'What about ' || substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 40) || '?' AS question, 'yes' AS answer FROM benchmark WHERE item_id % 3 = 0")
+def json_extract(spark, d):
+    plain = F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 40)
+    pair = F.concat(F.lit('{"question": "What about '), plain, F.lit('?", "answer": "yes"}'))
+    shaped = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit('Sure!\n```json\n{"questions": ['), pair, F.lit(', {"question": "short", "answer": "no"}]}\n```'))).when(F.col("item_id") % 3 == 1, "no object").otherwise("{broken")
+    rows = table(spark, d, "benchmark").select("item_id", F.explode(parsing.qa_pairs(shaped)).alias("p")).select("item_id", "p.question", "p.answer")
+    return rows.where(parsing.valid_pair(F.col("question"), F.col("answer")))
+
+
+@query("""SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'What do you think of you?' WHEN 1 THEN 'Why do you leave?' ELSE '' END AS question, item_id % 3 = 2 AS refused,
+'Instruct: find' || chr(10) || 'Query:' || text AS instructed FROM benchmark""")
+def question_forms(spark, d):
+    m = F.col("item_id") % 3
+    said = F.when(m == 0, "<think>x\ny</think>\n\n What does the narrator think of the Author?\nmore").when(m == 1, "Why did THE SPEAKER leave?").otherwise(" \n ")
+    answer = F.when(m == 2, "The text DOES NOT contain enough information here").otherwise("fine")
+    return table(spark, d, "benchmark").select("item_id", text.second_person(said).alias("question"), text.is_refusal(answer).alias("refused"), text.instructed_query("text", "find").alias("instructed"))
+
+
+# --- evaluation sets ----------------------------------------------------------------------
+
+
+@query("SELECT item_id, text FROM benchmark WHERE item_id IN (1, 3, 5, 7, 11, 13, 17, 19, 23)")
+def subset_ids(spark, d):
+    return evalset.subset(table(spark, d, "benchmark"), "item_id", [1, 3, 5, 7, 11, 13, 17, 19, 23])
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_remaining(spark, d):
+    return evalset.remaining(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT item_id, text FROM benchmark ORDER BY md5(item_id || ':7'), item_id LIMIT 12")
+def sample_questions(spark, d):
+    return evalset.sample_rows(table(spark, d, "benchmark"), 12, "item_id", seed=7)
+
+
+@query(f"SELECT 'q' || lpad((row_number() OVER (ORDER BY item_id))::VARCHAR, 4, '0') AS id, item_id FROM benchmark WHERE length({STRIP.format('text')}) > 200")
+def sequential_ids(spark, d):
+    return evalset.numbered(table(spark, d, "benchmark").where(evalset.long_enough(F.col("text"), 200)), "item_id").select("id", "item_id")
+
+
+@query("SELECT item_id, substr(md5('corpus_' || 'model' || '_600_200_' || md5(text)), 1, 10) AS key FROM benchmark")
+def index_keys(spark, d):
+    return table(spark, d, "benchmark").select("item_id", text.cache_key(F.lit("corpus"), F.lit("model"), F.lit(600), F.lit(200), F.md5("text")).alias("key"))
+
+
+@query("SELECT 0 AS part, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents")
+def corpus_concatenation(spark, d):
+    from quillspan.sources.writers import concatenate
+
+    return concatenate(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+
+
+WORDS_SQL = r"t AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+(?:''[A-Za-z]+)?')) AS w FROM documents)"
+
+
+@query()
+def unknown_words(spark, d):
+    known = table(spark, d, "benchmark").select(F.explode(text.review_words("text")).alias("w")).select(F.lower("w").alias("term")).distinct()
+    tokens = ocr.review_tokens(table(spark, d, "documents"), "doc_id", "text")
+    return ocr.unknown_words(tokens, known)
+
+
+@query(f"WITH {WORDS_SQL} SELECT w AS word, count(*) AS n FROM t GROUP BY w")
+def review_word_counts(spark, d):
+    return table(spark, d, "documents").select(F.explode(text.review_words("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
