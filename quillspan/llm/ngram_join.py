@@ -2,9 +2,9 @@
 
 Documents are sets of distinct word n-grams, ordered by their 64-bit hash. Equal
 sets are one class from the start. For the others, the universe of n-grams is
-split into m parts by a second hash, m one more than the greatest symmetric
+split into m parts by a second hash, m more than the greatest symmetric
 difference that the threshold allows at a document's size; linked documents then
-agree on all of some part, so the hashed parts are the candidate keys. In each
+agree on all of some parts, so the hashed parts are the candidate keys. In each
 candidate cluster the sets go into a trie; a probe walks down it carrying the
 overlap so far, so documents with a common beginning share its count, and leaves
 a subtree when the overlap plus what can still follow on either side misses the
@@ -14,7 +14,9 @@ least overlap needed there, or when all below it is linked to the probe already.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,33 @@ def classes(percent: int, top: int) -> np.ndarray:
     return np.array(low, np.int64)
 
 
+@cache
+def scheme(largest: int, percent: int) -> tuple[int, int, int]:
+    """For sets of at most ``largest`` members: the greatest difference that a link allows, the number of parts,
+    and the size up to which a part is too weak to be a key.
+
+    Parts beyond the difference plus one are spare: linked sets agree on one part
+    more for each. Their number is what weak parts may come to, by the Poisson law
+    of part sizes, so that hardly any set has nothing but weak parts to show.
+    """
+    differ = 2 * largest * (100 - percent) // (100 + percent)
+    load = largest / (differ + 1)
+    weak, term, below = 0, math.exp(-load), math.exp(-load)
+    while below + term * load / (weak + 1) <= 0.015 and weak < 2:
+        weak += 1
+        term *= load / weak
+        below += term
+    expect = 1.3 * (differ + 1) * below
+    return differ, differ + 1 + (math.ceil(round(expect + 4 * math.sqrt(expect) + 1, 6)) if differ else 0), weak if differ else 0
+
+
 def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts of each set in its own and in the next size class, and their nodes."""
+    """Keys of each set's strong parts in its own and in the next size class, and their nodes.
+
+    A linked pair agrees on as many parts as the scheme has, less their greatest
+    difference at this set's size. If all of those were weak, both sets would have
+    so many weak parts; such sets, which are rare, share one more key in their class.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     keep = n > 0
     if not keep.any():
@@ -62,14 +89,22 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
     keys, of = [], []
     for c in (own, own + 1):
         largest = ends[c + 1] - 1
-        parts = 2 * largest * (100 - percent) // (100 + percent) + 1
+        plan = np.array([scheme(int(x), percent) for x in largest], np.int64)
+        parts, weak = plan[:, 1], plan[:, 2]
         at = np.concatenate([[0], np.cumsum(parts)])
+        spot = at[:-1][doc] + (split % parts[doc].astype(U64)).astype(np.int64)
         sums = np.zeros(at[-1], U64)
-        np.add.at(sums, at[:-1][doc] + (split % parts[doc].astype(U64)).astype(np.int64), share)
+        np.add.at(sums, spot, share)
+        size = np.bincount(spot, minlength=at[-1])
         owner = np.repeat(np.arange(len(n)), parts)
         which = np.arange(at[-1]) - at[:-1][owner]
-        keys.append(kernel.mix(sums ^ kernel.mix((c[owner] * (1 << 40) + which).astype(U64) + U64(1))))
-        of.append(nodes[owner])
+        feeble = size <= weak[owner]
+        agreed = parts - (n + np.minimum(n * 100 // percent, largest)) * (100 - percent) // (100 + percent)
+        lost = np.flatnonzero(np.bincount(owner, feeble, len(n)) >= agreed)
+        strong = np.flatnonzero(~feeble)
+        name = (c[owner[strong]] * (1 << 40) + which[strong] + 1).astype(U64)
+        keys += [kernel.mix(sums[strong] ^ kernel.mix(name)), kernel.mix((c[lost] * (1 << 40)).astype(U64) ^ U64(0x589965CC75374CC3))]
+        of += [nodes[owner[strong]], nodes[lost]]
     return np.concatenate(keys), np.concatenate(of)
 
 
