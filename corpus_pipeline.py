@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, mixing, ngram_join, store, tokens, toxicity
+from quillspan.llm import decontaminate, linking, mixing, ngram_join, store, tokens, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group that links of five-word shingles at 0.8 tie together, the document with the least id stays."""
     groups = ngram_join.ngram_join(docs, n=5, percent=80)
     gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return linking.without(docs, "doc_id", store.staged(gone, "gone")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,7 +167,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     edges = linking.star_edges(keyed.mapInArrow(keys, linking.Pairs.schema))
     clusters = linking.components(edges).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
     where = distinct.join(clusters, "h").select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.line").alias("line"), "h", "cluster").alias("r"))
-    items = keyed.join(where.groupBy("doc_id").agg(F.collect_list("r").alias("rows")).hint("merge"), "doc_id").mapInArrow(contents, "cluster long, node long, content binary")
+    held = store.staged(where.groupBy("doc_id").agg(F.collect_list("r").alias("rows")), "held")
+    items = linking.matching(keyed, "doc_id", held).select("doc_id", "text", "rows").mapInArrow(contents, "cluster long, node long, content binary")
     # Two lines of one hash would be one node; texts that differ in a document of several rows are left to their hash.
     links = store.staged(linking.in_clusters(items.dropDuplicates(["node"]), edit_join(most)), "links")
     groups = store.staged(linking.components(links).withColumnRenamed("node", "h"), "groups")

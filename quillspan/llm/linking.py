@@ -114,6 +114,40 @@ def in_clusters(items: DataFrame, join: Callable[[list, list], Iterator[tuple[in
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
+#: Bits of a sieve: 4 MB, whatever the number of ids.
+SIEVE_BITS = 1 << 25
+
+
+def sieved(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``docs`` with `_maybe`: false only for keys that are surely not among ``ids`` (one column of that name).
+
+    The ids' hashes are marked in one bitmap of fixed size, in pieces of 4 KB, which
+    is broadcast. Joins with whole texts then shuffle only the rows it lets pass.
+    With very many ids all rows pass, which costs nothing but the test.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+    marks = ids.select(at(key).alias("p")).groupBy(F.shiftright("p", 15).alias("_piece")).agg(
+        F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("_bits"))
+    rows = docs.withColumn("_at", at(key)).withColumn("_piece", F.shiftright("_at", 15))
+    rows = rows.join(F.broadcast(store.staged(marks, "sieve")), "_piece", "left")
+    bit = F.col("_at").bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_at", "_piece", "_bits")
+
+
+def matching(docs: DataFrame, key: str, other: DataFrame) -> DataFrame:
+    """The inner join of texts with ``other``, which grows with the corpus: always by shuffle, sieved first."""
+    return sieved(docs, key, other).where("_maybe").drop("_maybe").join(other.hint("merge"), key)
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not among ``gone`` (one column); those the sieve clears are not shuffled."""
+    rows = sieved(docs, key, gone)
+    clear = rows.where("not _maybe").drop("_maybe")
+    return clear.unionByName(rows.where("_maybe").drop("_maybe").join(gone.hint("merge"), key, "left_anti"))
+
+
 class Forest:
     """Disjoint sets of the nodes of one task."""
 

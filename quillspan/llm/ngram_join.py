@@ -237,8 +237,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     map_a, map_b = (copies.select(F.col("b").alias(x), F.col("a").alias(f"{x}_lead")) for x in "ab")
     tied = raw.join(map_a, "a", "left").join(map_b, "b", "left").select(F.coalesce("a_lead", "a").alias("a"), F.coalesce("b_lead", "b").alias("b"))
     clusters = store.staged(linking.components(tied.where("a <> b")), "clusters")
-    # Candidates grow with the corpus, so this join shuffles at every size, and its plan does not flip when they outgrow a broadcast.
-    items = own.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).hint("merge"), "doc_id").mapInArrow(contents, "cluster long, node long, content binary")
+    items = linking.matching(own, "doc_id", clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
+    items = items.select("doc_id", "text", "cluster").mapInArrow(contents, "cluster long, node long, content binary")
     found = store.staged(linking.in_clusters(items.where(F.length("content") > 0), trie_join(percent)), "links")
     groups = linking.components(found.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
     return described.join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -106,3 +106,14 @@ def test_components(spark):
     want = {x: root(x) for a, b in edges if a != b for x in (a, b)}
     got = {r.node: r.component for r in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want and not Counter(got) - Counter(want)
+
+
+def test_sieve(spark):
+    docs = spark.range(5000).selectExpr("if(id = 17, null, id) as k", "cast(id as string) as t")
+    ids = spark.range(0, 9000, 7).withColumnRenamed("id", "k")
+    passed = {r.k for r in linking.sieved(docs, "k", ids).where("_maybe").collect()}
+    assert {x for x in range(0, 5000, 7)} <= passed and len(passed) < 800
+    assert linking.matching(docs, "k", ids).count() == 715
+    left = [r.k for r in linking.without(docs, "k", ids).collect()]
+    assert len(left) == 5000 - 715 and None in left and not {x for x in left if x is not None and x % 7 == 0}
+    assert linking.without(docs, "k", ids.where("false")).count() == 5000
