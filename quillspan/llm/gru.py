@@ -47,7 +47,7 @@ def lanes(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         lane = int(load.argmin())
         of[lane].append(d)
         load[lane] += sizes[d]
-    at = np.full((int(load.max()), width), -1, np.int64)
+    at = np.full((int(load.max()), width), -1, np.int32)
     first = np.zeros(at.shape, bool)
     for lane, docs in enumerate(of):
         step = 0

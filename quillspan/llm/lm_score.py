@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from quillspan.llm import gru, kernel, store
 
 U64 = np.uint64
+#: Tokens that go through the network side by side, about.
+AT_ONCE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 held_h.append(h)
                 held_c.append(c)
                 held += len(h)
-                if held > 2_000_000:
+                if held > 600_000:
                     yield out()
                     held_h, held_c, held = [], [], 0
         if held_h:
@@ -159,12 +161,21 @@ def lm_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, m, serial = shared.value, final.value, TaskContext.get().partitionId() << 36
+        def flush(ids: list, sizes: list, rows: list) -> Iterator[pa.RecordBatch]:
+            nonlocal serial
+            run, at = gru.score(m, np.concatenate(ids), np.concatenate(sizes), k["end"]), 0
+            for doc_id, n, count, base, spell, tail in rows:
+                uid = serial + np.arange(len(n))
+                serial += len(n)
+                yield pa.RecordBatch.from_arrays([pa.array(uid), doc_id, pa.array(n), pa.array(count), pa.array(base), pa.array(run[at : at + len(n)] + spell), tail], NAMES)
+                at += len(n)
+
         for batch in batches:
-            ids, sizes, rows = [], [], []
+            ids, sizes, rows, held = [], [], [], 0
             for lo, place, model_id, hashes, n in token_ids(batch.column(1), k["h"], k["id"], k["end"]):
                 doc = np.repeat(np.arange(len(n)), n)
                 absent = place == -1
-                ids.append(np.where(absent, k["other"], model_id))
+                ids.append(np.where(absent, k["other"], model_id).astype(np.int32))
                 sizes.append(n)
                 seen = np.where(place >= 0, k["c"][place], np.where(absent, 0, k["n_docs"])) if len(k["c"]) else np.where(absent, 0, k["n_docs"])
                 logs = np.log10(seen + 1.0)
@@ -174,13 +185,12 @@ def lm_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
                 cut = np.concatenate([[0], np.cumsum(np.bincount(doc, absent, len(n)))]).astype(np.int32)
                 tail = pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[absent].view(np.int64)))
                 rows.append((batch.column(0).slice(lo, len(n)), n, count, base, spell, tail))
-            run = gru.score(m, np.concatenate(ids), np.concatenate(sizes), k["end"]) if ids else np.zeros(0)
-            at = 0
-            for doc_id, n, count, base, spell, tail in rows:
-                uid = serial + np.arange(len(n))
-                serial += len(n)
-                yield pa.RecordBatch.from_arrays([pa.array(uid), doc_id, pa.array(n), pa.array(count), pa.array(base), pa.array(run[at : at + len(n)] + spell), tail], NAMES)
-                at += len(n)
+                held += len(ids[-1])
+                if held > AT_ONCE:
+                    yield from flush(ids, sizes, rows)
+                    ids, sizes, rows, held = [], [], [], 0
+            if ids:
+                yield from flush(ids, sizes, rows)
 
     kind = own.schema["doc_id"].dataType.simpleString()
     first = store.staged(own.select("doc_id", "text").mapInArrow(score, f"uid long, doc_id {kind}, n_tokens long, n_known long, base double, score double, tail array<long>"), "scored")
