@@ -151,6 +151,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
                 _, at = np.unique(hashes, return_index=True)
                 for k, which in line_keys(w, long_[at], most):
                     pairs.add(k, hashes[at][which].view(np.int64))
+                if pairs.full():
+                    yield pairs.batch()
             yield pairs.batch()
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,9 @@ class Pairs:
         self.keys.append(keys)
         self.nodes.append(nodes)
 
+    def full(self) -> bool:
+        return sum(map(len, self.keys)) > 400_000
+
     def batch(self) -> pa.RecordBatch:
         """A row (key, node, null) for each key's first node here, and (node, first, node) for the others.
 

@@ -148,10 +148,21 @@ class Trie:
             at, here = at + same, kid
 
 
-def links(root: Trie, values: np.ndarray, node: int, forest: linking.Forest, percent: int) -> Iterator[int]:
-    """Sets of the trie linked with ``values``, but for those that the forest already ties to ``node``."""
+#: 64-bit words of a sketch: one parity bit for each n-gram's place.
+SKETCH = 32
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """Parities of the members' places. Two sets differ in at least as many members as their sketches do in bits."""
+    odd = np.bincount((kernel.mix(values) % U64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(U64)
+
+
+def links(root: Trie, values: np.ndarray, node: int, forest: linking.Forest, percent: int, begins: set[int]) -> Iterator[int]:
+    """Sets of the trie linked with ``values`` that begin with one of ``begins``, but for those that the forest
+    already ties to ``node``."""
     own, n = frozenset(values.tolist()), len(values)
-    stack = [(kid, 0, 0, True) for kid in root.kids.values()]
+    stack = [(root.kids[x], 0, 0, True) for x in begins]
     while stack:
         here, depth, overlap, down = stack.pop()
         if not down:  # all below was seen: is it one group now?
@@ -176,18 +187,33 @@ def links(root: Trie, values: np.ndarray, node: int, forest: linking.Forest, per
 
 
 def trie_join(percent: int):
-    """The join of ``linking.in_clusters`` on contents of sorted 64-bit hashes."""
+    """The join of ``linking.in_clusters`` on contents of sorted 64-bit hashes.
+
+    A probe is first held against the sketches and sizes of all sets in the trie
+    at once: it enters only branches that begin with a set that may link and is
+    not tied to it already.
+    """
 
     def join(first: list, second: list) -> Iterator[tuple[int, int]]:
         forest, root = linking.Forest(), Trie(np.zeros(0, U64), [], 0, 1 << 62, None)
+        marks, sizes = np.zeros((len(first), SKETCH), U64), np.zeros(len(first), np.int64)
+        names, heads = [node for node, _ in first], []
         for k, (node, content) in enumerate([*first, *second]):
             values = np.frombuffer(content, U64)
-            for other in links(root, values, node, forest, percent):
-                if forest.root(other) != forest.root(node):
-                    forest.tie(other, node)
-                    yield other, node
+            mark, held = sketch(values), min(k, len(first))
+            apart = np.bitwise_count(marks[:held] ^ mark).sum(1, dtype=np.int64)
+            near = np.flatnonzero(apart * (100 + percent) <= (sizes[:held] + len(values)) * (100 - percent))
+            mine = forest.root(node)
+            begins = {heads[i] for i in near.tolist() if forest.root(names[i]) != mine}
+            if begins:
+                for other in links(root, values, node, forest, percent, begins):
+                    if forest.root(other) != forest.root(node):
+                        forest.tie(other, node)
+                        yield other, node
             if k < len(first):
                 root.insert(values, node, forest)
+                marks[k], sizes[k] = mark, len(values)
+                heads.append(int(values[0]))
 
     return join
 
@@ -219,6 +245,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
             nodes, pairs = batch.column(0).to_numpy(), linking.Pairs()
             for lo, sets in document_sets(batch.column(1), n, lower):
                 pairs.add(*part_keys(sets, nodes[lo : lo + len(sets)], percent))
+                if pairs.full():
+                    yield pairs.batch()
             yield pairs.batch()
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

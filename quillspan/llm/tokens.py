@@ -126,7 +126,7 @@ class Encoder:
     """
 
     #: Words remembered at most; beyond it the memory starts afresh.
-    REMEMBER = 400_000
+    REMEMBER = 200_000
 
     def __init__(self, path: str, lower: bool = True):
         from tokenizers import Tokenizer
