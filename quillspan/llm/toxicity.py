@@ -57,16 +57,26 @@ def fit(texts: pa.Array, toxic: np.ndarray, settings: Settings = Settings()) ->
     class vectors.
     """
     rng = np.random.default_rng(settings.seed)
-    docs = []  # per document: subword ids and their coefficients
+    docs: list[tuple[int, int, int]] = []  # per document: its chunk, and where its words lie there
+    chunks: list[tuple[np.ndarray, ...]] = []  # distinct words of documents, roots of their counts, subword ids by word, where a word's begin, how many
     for lo, hi, ids, of, token, first in bags(texts, settings.buckets):
         per = np.bincount(of, minlength=(of.max() + 1) if len(of) else 0)
-        order = np.argsort(of, kind="stable")
-        sub, begin = ids[order], np.concatenate([[0], np.cumsum(per)])
-        for d in range(hi - lo):
-            words, n = np.unique(token[first[d] : first[d + 1]], return_counts=True)
-            k, n = per[words], np.sqrt(n)
-            spot = np.repeat(begin[words] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-            docs.append((sub[spot].astype(np.int32), np.repeat(n / k / max(1, n.sum()), k).astype(np.float32)))
+        kinds = len(per) + 1
+        pairs, n = np.unique(np.repeat(np.arange(hi - lo), np.diff(first)) * kinds + token, return_counts=True)
+        cut = np.searchsorted(pairs, np.arange(hi - lo + 1) * kinds).tolist()
+        docs += [(len(chunks), x, y) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        sub = ids[np.argsort(of, kind="stable")].astype(np.int32)
+        chunks.append(((pairs % kinds).astype(np.int32), np.sqrt(n).astype(np.float32), sub, np.concatenate([[0], np.cumsum(per)]), per))
+
+    def expanded(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of a document and their coefficients in its mean."""
+        chunk, x, y = docs[i]
+        words, roots, sub, begin, per = chunks[chunk]
+        words, n = words[x:y], roots[x:y]
+        k = per[words]
+        spot = np.repeat(begin[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        return sub[spot], np.repeat(n / k / max(1, n.sum()), k).astype(np.float32)
+
     emb = rng.normal(0, 0.3, (settings.buckets, settings.dim)).astype(np.float32)
     out = rng.normal(0, 0.3, (2, settings.dim)).astype(np.float32)
     rate = float(np.clip(np.mean(toxic), 1e-3, 1 - 1e-3)) if len(toxic) else 1e-3
@@ -77,8 +87,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, settings: Settings = Settings()) ->
         order = rng.permutation(len(docs))
         for lo in range(0, len(docs), settings.batch):
             pick = order[lo : lo + settings.batch]
-            n = np.array([len(docs[i][0]) for i in pick])
-            ids, coef = np.concatenate([docs[i][0] for i in pick]), np.concatenate([docs[i][1] for i in pick])
+            bag = [expanded(i) for i in pick]
+            n = np.array([len(x) for x, _ in bag])
+            ids, coef = np.concatenate([x for x, _ in bag]), np.concatenate([x for _, x in bag])
             row = np.repeat(np.arange(len(pick)), n)
             mean = np.stack([np.bincount(row, coef * emb[ids, j], len(pick)) for j in range(settings.dim)], 1)
             logits = mean @ out.T + bias
