@@ -126,7 +126,8 @@ def train(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text:
         return fit(pa.array([], pa.string()), [], s)
     order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
     picked = own.select("k", "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, s.max_train // n)).select("k", "l").distinct()
-    rows = own.join(picked, ["k", "l"]).select("k", "l", "t").toArrow().sort_by([("k", "ascending"), ("l", "ascending"), ("t", "ascending")])
+    rows = own.join(F.broadcast(picked), ["k", "l"]).select("k", "l", "t")  # picked: max_train rows at most
+    rows = rows.toArrow().sort_by([("k", "ascending"), ("l", "ascending"), ("t", "ascending")])
     return fit(rows["t"].combine_chunks(), rows["l"].to_pylist(), s)
 
 
