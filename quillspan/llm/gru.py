@@ -70,11 +70,11 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 def _steps(m: dict, tokens: np.ndarray, at: np.ndarray, first: np.ndarray, end: int) -> Iterator[tuple]:
     """For each window: its positions, inputs, starts, and the states before and after each step."""
     hidden = len(m["U"])
-    table, h = m["I"] + m["b"], np.zeros((at.shape[1], hidden), F32)
+    h = np.zeros((at.shape[1], hidden), F32)
     before = np.where(first | (at <= 0), end, tokens[np.maximum(at - 1, 0)])
     for lo in range(0, len(at), WINDOW):
         rows = slice(lo, lo + WINDOW)
-        x, f = table[before[rows]], first[rows]
+        x, f = m["I"][before[rows]] + m["b"], first[rows]  # looked up here, as training changes them between windows
         past, now, gates = [], [], []
         for t in range(len(f)):
             if f[t].any():
@@ -123,27 +123,38 @@ def train(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int =
     m = m | {k: m[k].copy() for k in TRAINED}
     total = {k: np.full_like(m[k], 1e-3) for k in TRAINED}
     hidden = len(m["U"])
+
+    def move(k: str, g: np.ndarray, part=...) -> None:
+        """Only parameters with a gradient move; Adagrad leaves the others as they are."""
+        step = np.clip(g, -5, 5)
+        total[k][part] += step * step
+        m[k][part] -= F32(rate) * step / np.sqrt(total[k][part])
+
     for _ in range(epochs if len(tokens) else 0):
         for at, before, f, past, now, gates in _steps(m, tokens, *lanes(sizes, width), end):
             live = at >= 0
             if not live.any():
                 continue
             h, words = np.stack(now)[live], tokens[at[live]]
-            g = {k: np.zeros_like(m[k]) for k in TRAINED}
             d = np.exp(_log_softmax(h @ m["C"] + m["c"]))
             d[np.arange(len(words)), m["of"][words]] -= 1
-            g["C"], g["c"], back = h.T @ d, d.sum(0), d @ m["C"].T
+            back = d @ m["C"].T
+            move("C", h.T @ d)
+            move("c", d.sum(0))
             for c, part in _by_class(m["of"], words):
                 a, z = m["edge"][c], m["edge"][c + 1]
+                if z - a == 1:
+                    continue
                 d = np.exp(_log_softmax(h[part] @ m["O"][:, a:z] + m["o"][a:z]))
                 d[np.arange(len(part)), words[part] - a] -= 1
-                g["O"][:, a:z] += h[part].T @ d
-                g["o"][a:z] += d.sum(0)
                 back[part] += d @ m["O"][:, a:z].T
+                move("O", h[part].T @ d, np.s_[:, a:z])
+                move("o", d.sum(0), np.s_[a:z])
             grad = np.zeros((*at.shape, hidden), F32)
             grad[live] = back
             carry = np.zeros((at.shape[1], hidden), F32)
             into = np.zeros((*at.shape, 3 * hidden), F32)
+            turn = np.zeros_like(m["U"])
             for t in range(len(at) - 1, -1, -1):
                 r, z, n, u = gates[t]
                 dh = grad[t] + carry
@@ -151,12 +162,12 @@ def train(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int =
                 da = np.concatenate([dn * u * r * (1 - r), dh * (past[t] - n) * z * (1 - z), dn], 1)
                 into[t] = da
                 du = np.concatenate([da[:, : 2 * hidden], dn * r], 1)
-                g["U"] += past[t].T @ du
+                turn += past[t].T @ du
                 carry = (dh * z + du @ m["U"].T) * ~f[t][:, None]
-            np.add.at(g["I"], before[live], into[live])
-            g["b"] = into[live].sum(0)
-            for k in TRAINED:
-                step = np.clip(g[k], -5, 5)
-                total[k] += step * step
-                m[k] = m[k] - F32(rate) * step / np.sqrt(total[k])
+            from_, into = before[live], into[live]
+            order = np.argsort(from_, kind="stable")
+            seen, cut = np.unique(from_[order], return_index=True)
+            move("U", turn)
+            move("I", np.add.reduceat(into[order], cut), seen)
+            move("b", into.sum(0))
     return m

@@ -1,15 +1,17 @@
 """Language-model scoring of whole documents.
 
 Counts of all training words are gathered by a distributed group-by. A recurrent
-model over the commonest words is trained on the executors: in each round, shards
-of training documents go through truncated backpropagation from the same start,
-and their parameters are averaged, weighted by tokens. Shards have a fixed size,
-so their number grows with the corpus. A word outside the model's vocabulary has
+model over the commonest words is trained on the executors: the training documents
+are dealt over the rounds, each document to one of them, and in a round over shards;
+shards go through truncated backpropagation from the same start, and their parameters
+are averaged, weighted by tokens. Shards have a fixed size, so their number grows with
+the corpus, and the vocabulary grows with the distinct words. A word outside it has
 the model's probability of any such word times its smoothed share among them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,21 +26,23 @@ from quillspan.llm import gru, kernel, store
 U64 = np.uint64
 #: Tokens that go through the network side by side, about.
 AT_ONCE = 1_000_000
+#: Parameters that are averaged together.
+BLOCK = 8192
 
 
 @dataclass(frozen=True)
 class Settings:
-    """vocabulary: words the network predicts; head: commonest words whose counts travel with each task, at most
-    (rarer words are joined); share: of the training documents that a round learns from, but ``least`` at least;
+    """vocabulary, classes: words the network predicts and their classes, at least; they grow to ``growth`` times the
+    square root of the distinct words, and the square root of the vocabulary; head: commonest words whose counts travel
+    with each task, at most (rarer words are joined); rounds: averages, each of its own part of the training documents;
     shard: documents of one shard, about."""
 
     vocabulary: int = 2000
+    growth: int = 3
     head: int = 100_000
     hidden: int = 16
     classes: int = 32
     rounds: int = 2
-    share: float = 1 / 128
-    least: int = 400
     shard: int = 1500
 
 
@@ -83,7 +87,7 @@ def token_ids(column: pa.Array, words: np.ndarray, ids: np.ndarray, end: int) ->
 
 
 def learner(known: Broadcast, start: Broadcast):
-    """Trains from ``start`` on the documents (doc_id, text) of a shard; gives the tokens seen and the parameters."""
+    """Trains from ``start`` on the documents (doc_id, text) of a shard; gives the tokens seen and blocks of parameters."""
 
     def learn_shard(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -93,19 +97,28 @@ def learner(known: Broadcast, start: Broadcast):
             sizes.append(n)
         got = gru.train(start.value, np.concatenate(ids), np.concatenate(sizes), k["end"])
         values = np.concatenate([got[x].ravel() for x in gru.TRAINED]).astype(np.float32)
-        return pa.table({"weight": [float(np.concatenate(sizes).sum())], "values": pa.array([values], pa.list_(pa.float32()))})
+        blocks = [values[i : i + BLOCK] for i in range(0, len(values), BLOCK)]
+        weight = np.full(len(blocks), float(np.concatenate(sizes).sum()))
+        return pa.table({"i": np.arange(len(blocks)), "weight": weight, "values": pa.array(blocks, pa.list_(pa.float32()))})
 
     return learn_shard
 
 
 def average(shards: DataFrame, model: dict) -> dict:
-    """Parameters averaged over shards (weight, values), weighted; the group-by yields one row a parameter."""
-    rows = shards.select("weight", F.posexplode("values").alias("i", "v")).groupBy("i").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v"))
-    got = rows.toArrow()
-    flat = np.empty(sum(model[k].size for k in gru.TRAINED), np.float32)
-    if got.num_rows != len(flat):
+    """Parameters averaged over shards (i, weight, values), weighted, block by block; the model itself without shards."""
+
+    def mean(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = 0.0, 0.0
+        for batch in batches:
+            w = batch.column("weight").to_numpy()
+            total = total + w @ batch.column("values").flatten().to_numpy().reshape(len(w), -1).astype(np.float64)
+            weight += w.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([(total / weight).astype(np.float32)], pa.list_(pa.float32()))], ["i", "values"])
+
+    got = shards.groupBy("i").applyInArrow(mean, "i long, values array<float>").toArrow().sort_by("i")
+    if not got.num_rows:
         return model
-    flat[got["i"].to_numpy()] = got["v"].to_numpy()
+    flat = got["values"].combine_chunks().flatten().to_numpy()
     out, at = dict(model), 0
     for k in gru.TRAINED:
         out[k] = flat[at : at + model[k].size].reshape(model[k].shape)
@@ -120,8 +133,8 @@ def lm_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
     64-bit hash; each document ends in one more token. Null and empty texts are
     that token alone. ``learn`` says which rows are learned from; with none, every
     word is unknown and the network stays as it starts. Repeated rows count each;
-    a null key is carried along and never learned by the network; other columns are
-    not read. base_score: log10 of (c + 1) / (N + V + 1), summed. The state runs
+    a null key is carried along, and learned from where ``learn`` says so; other
+    columns are not read. base_score: log10 of (c + 1) / (N + V + 1), summed. The state runs
     through a document from its first word to its end.
     """
     spark = docs.sparkSession
@@ -133,7 +146,7 @@ def lm_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
     tokens, kinds = total[0] + n_docs, total[1] + (n_docs > 0)
     head = counts.orderBy(F.desc("c"), "h").limit(s.head).toArrow()
     h, c = head["h"].to_numpy().view(U64), head["c"].to_numpy()
-    top = min(s.vocabulary, len(h))
+    top = min(max(s.vocabulary, s.growth * math.isqrt(total[1])), len(h))
     rare_n, rare_v = total[0] - int(c[:top].sum()), total[1] - top
     # Model ids from the commonest: the words of the vocabulary, the end, and one for all other words.
     mass = np.concatenate([c[:top] + 1, [n_docs + 1, rare_n + rare_v + 1]]).astype(np.float64)  # the base model's shares
@@ -146,16 +159,14 @@ def lm_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
         "end": end, "other": other, "n_docs": n_docs,
         "base": float(np.log10(tokens + kinds + 1)), "rare": float(np.log10(rare_n + rare_v + 1)),
     }
-    model = gru.start(-np.sort(-mass), s.hidden, s.classes)
-    share = min(1.0, max(s.share, s.least / max(1, n_docs)))
-    pieces = max(1, round(n_docs * share / s.shard))
+    model = gru.start(-np.sort(-mass), s.hidden, max(s.classes, math.isqrt(top)))
+    pieces = max(1, math.ceil(n_docs / (s.rounds * s.shard)))
     shared = spark.sparkContext.broadcast(known)
 
     for turn in range(s.rounds if n_docs else 0):
-        here = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1_000_000)) < int(share * 1_000_000)
-
-        sample = training.where(here & F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(-turn - 1)), F.lit(pieces)).alias("shard"))
-        shards = sample.groupBy("shard").applyInArrow(learner(shared, spark.sparkContext.broadcast(model)), "weight double, values array<float>")
+        dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.rounds * pieces))
+        part = training.where(dealt % s.rounds == turn).select("doc_id", "text", F.floor(dealt / s.rounds).alias("shard"))
+        shards = part.groupBy("shard").applyInArrow(learner(shared, spark.sparkContext.broadcast(model)), "i long, weight double, values array<float>")
         model = average(shards, model)
     final = spark.sparkContext.broadcast(model)
 

@@ -87,3 +87,43 @@ def test_frame_against_brute_force(spark):
     none = lm_score.lm_score(df, F.lit(False), s=s).collect()
     assert {r.train_tokens for r in none} == {0} and {r.n_known for r in none} == {0}
     assert lm_score.lm_score(df.where("false"), F.lit(True), s=s).count() == 0
+
+
+def test_network_learns_from_every_training_document(spark, monkeypatch):
+    """Documents over all rounds and shards are the training ones, null keys too, once each."""
+    rows = [(None if i % 100 == 0 else i, f"a b c{i % 7} d") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, shards_, average = [], [], lm_score.average
+
+    def spy(shards, model):
+        got = {(r.shard, r.weight) for r in shards.select(F.spark_partition_id().alias("shard"), "weight").collect()}
+        seen.append(sum(w for _, w in got))
+        shards_.append(len(got))
+        return average(shards, model)
+
+    monkeypatch.setattr(lm_score, "average", spy)
+    learn = F.coalesce(F.col("doc_id") % 5 != 4, F.lit(True))
+    lm_score.lm_score(df, learn, s=lm_score.Settings(hidden=4, classes=2)).count()
+    n = sum(i is None or i % 5 != 4 for i, _ in rows)
+    assert sum(seen) == 5 * n and len(shards_) == 2
+
+
+def test_vocabulary_grows_with_the_distinct_words(spark, monkeypatch):
+    made, start = [], gru.start
+    monkeypatch.setattr(gru, "start", lambda counts, *a: made.append(len(counts)) or start(counts, *a))
+    for n in (100, 10_000):
+        df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 100, i * 100 + 100))) for i in range(n // 100)], "doc_id long, text string")
+        lm_score.lm_score(df, F.lit(True), s=lm_score.Settings(vocabulary=20, hidden=4, classes=2)).count()
+    assert made == [30 + 2, 300 + 2]
+
+
+def test_training_reads_the_embeddings_it_has_learned():
+    """Later windows of a pass start from the inputs that earlier ones have moved."""
+    words, sizes = np.tile(np.array([0, 1, 2, 3], np.int32), 60), np.array([240])
+    m = start() | {"U": np.zeros((4, 12), np.float32)}
+    windows = gru._steps(m, words, *gru.lanes(sizes, 1), 3)
+    next(windows)
+    m["I"] = m["I"] + 1
+    moved = next(windows)[4][0]
+    still = list(gru._steps(start() | {"U": m["U"]}, words, *gru.lanes(sizes, 1), 3))[1][4][0]
+    assert not np.allclose(moved, still)
