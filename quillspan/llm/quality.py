@@ -2,9 +2,9 @@
 
 Each rule votes good (1), bad (0) or abstains (null) on a document. How often
 each pattern of votes occurs is counted over all documents; expectation
-maximisation over those counts estimates each rule's accuracy and the share of
-good documents, with no labels. A document's posterior probability of being good
-then decides, in place of every rule having to pass.
+maximisation over those counts estimates how often each rule votes bad on good and
+on bad documents and the share of good documents, with no labels. A document's
+posterior probability of being good then decides, in place of every rule having to pass.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from quillspan.llm import store
 
 SPLIT = r"[\x20\x09-\x0D]+"
-#: Limits of a rule's accuracy: better than chance, so that good and bad keep their meaning, and short of certain.
-ACCURACY = (0.55, 0.99)
-BELIEF, WEIGHT = 0.97, 3.0
+#: Of its votes on bad and on good documents, how many of a rule are bad before any data, and for how many votes that
+#: counts; it is constant, so data overrule it. A rule sees one kind of junk, so it passes most bad documents.
+BELIEF, WEIGHT = (0.3, 0.03), 10.0
+GOOD = 0.8
+LIMITS = (0.01, 0.99)
 ROUNDS = 25
 
 
@@ -72,70 +74,77 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         F.length(F.regexp_replace("t", r"[^A-Z]", "")).cast("long").alias("n_upper"),
         (F.length("t") - F.length(F.regexp_replace("t", r"!", ""))).cast("long").alias("n_bangs"),
         (F.length("t") - F.length(F.regexp_replace("t", r"[0-9]", ""))).cast("long").alias("n_digits"),
+        F.length(F.regexp_replace("t", r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+", "")).cast("long").alias("n_marks"),
     ).select("*", "l.n_lines", "l.n_dup_lines").drop("l")
 
 
 def votes() -> dict[str, Column]:
     """The rules: 1 good, 0 bad, null abstains. Shares are compared with counts, so nothing is divided.
 
-    A rule that knows one kind of junk has nothing to say of other documents, so
-    it votes bad or abstains; ``prose`` votes good where every measure is plain.
+    Each votes good where its measure is plain, bad where it is far off, and abstains between
+    and where there is nothing to measure. ``marks``, all that is neither letter nor number,
+    covers what ``symbols`` and ``bangs`` look at, ``repeats`` what ``dup_lines`` does, so
+    rules have peers.
     """
     c = F.col
-    n, chars = c("n_words"), F.greatest(c("word_chars"), F.lit(1))
-    plain = (
-        (n >= 30) & (c("n_symbols") * 100 <= n * 4) & (c("n_bangs") * 100 <= n * 4) & (c("n_upper") * 100 <= chars * 12) & (c("n_digits") * 100 <= chars * 8)
-        & (c("n_repeat_words") * 100 <= n * 20) & (c("n_dup_lines") * 100 <= c("n_lines") * 15) & (chars >= 3 * n) & (chars <= 12 * n))
+    n, chars = c("n_words"), c("word_chars")
+
+    def rule(bad: Column, good: Column, seen: Column = n > 0) -> Column:
+        return F.when(seen & bad, 0).when(seen & good, 1)
+
+    def share(part: Column, of: Column, bad: int, good: int, seen: Column = n > 0) -> Column:
+        return rule(part * 100 > of * bad, part * 100 <= of * good, seen)
+
     return {
-        "short": F.when(n < 20, 0),
-        "symbols": F.when(c("n_symbols") * 100 > n * 12, 0),
-        "dup_lines": F.when((c("n_lines") >= 4) & (c("n_dup_lines") * 100 > c("n_lines") * 35), 0),
-        "repeats": F.when(c("n_repeat_words") * 100 > n * 40, 0),
-        "upper": F.when(c("n_upper") * 100 > chars * 35, 0),
-        "bangs": F.when(c("n_bangs") * 100 > n * 15, 0),
-        "word_length": F.when((chars > 15 * n) | (chars < 2 * n), 0),
-        "digits": F.when(c("n_digits") * 100 > chars * 25, 0),
-        "prose": F.when(plain, 1),
+        "short": rule(n < 20, n >= 30, F.lit(True)),
+        "symbols": share(c("n_symbols"), n, 12, 4),
+        "marks": share(c("n_marks"), chars, 10, 6),
+        "dup_lines": share(c("n_dup_lines"), c("n_lines"), 35, 15, c("n_lines") >= 4),
+        "repeats": share(c("n_repeat_words"), n, 40, 20),
+        "upper": share(c("n_upper"), chars, 35, 12),
+        "bangs": share(c("n_bangs"), n, 15, 4),
+        "word_length": rule((chars > 15 * n) | (chars < 2 * n), (chars >= 3 * n) & (chars <= 12 * n)),
+        "digits": share(c("n_digits"), chars, 25, 8),
     }
 
 
-def log_odds(prior: float, accuracy: dict[str, float]) -> Column:
-    """Log odds of good, given the votes: a vote counts by its rule's accuracy, an abstention not at all."""
-    terms = [F.when(F.col(r).isNull(), F.lit(0.0)).otherwise((2 * F.col(r) - 1) * math.log(a / (1 - a))) for r, a in accuracy.items()]
+def log_odds(prior: float, bad_votes: dict[str, tuple[float, float]]) -> Column:
+    """Log odds of good, given the votes: a vote counts by how often its rule casts it on bad and on good documents,
+    an abstention not at all."""
+    terms = [F.when(F.col(r) == 0, F.lit(math.log(g / b))).when(F.col(r) == 1, F.lit(math.log((1 - g) / (1 - b)))).otherwise(F.lit(0.0)) for r, (b, g) in bad_votes.items()]
     return reduce(lambda x, y: x + y, terms, F.lit(math.log(prior / (1 - prior))))
 
 
-def estimate(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, float]]:
-    """Share of good documents and accuracies, from counts of vote patterns (3 ** rules at most), by EM.
+def estimate(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, tuple[float, float]]]:
+    """Share of good documents and, by rule, the bad ones of its votes on bad and on good documents, from counts of
+    vote patterns (3 ** rules at most), by EM.
 
-    A rule that votes alone cannot be judged by its peers, and plain EM would take
-    such votes for errors of the commoner class. So each accuracy has a Beta prior
-    of mean ``BELIEF`` that counts ``WEIGHT`` times its own votes, and the share of
-    good is held within 0.2 to 0.8. A round is one aggregate that returns one row. Without rows the start is kept.
+    Each share starts from ``BELIEF`` (``GOOD``), which goes on counting as ``WEIGHT`` votes (documents). A rule
+    never votes bad more often on good documents than on bad ones: at worst its votes are worth nothing. A round is
+    one aggregate that returns one row. Without rows the start is kept.
     """
-    prior, accuracy = 0.8, dict.fromkeys(rules, BELIEF)
+    prior, bad_votes = GOOD, dict.fromkeys(rules, BELIEF)
+    held = lambda x: min(LIMITS[1], max(LIMITS[0], x))
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-log_odds(prior, accuracy)))
-        weighed = patterns.withColumn("p", p)
-        right = [F.sum(F.when(F.col(r) == 1, F.col("p")).when(F.col(r) == 0, 1 - F.col("p")) * F.col("n")).alias(f"r_{r}") for r in rules]
-        cast = [F.sum(F.when(F.col(r).isNotNull(), F.col("n"))).alias(f"n_{r}") for r in rules]
-        row = weighed.agg(F.sum(F.col("p") * F.col("n")).alias("good"), F.sum("n").alias("all"), *right, *cast).first()
+        weighed = patterns.withColumn("p", F.col("n") / (1 + F.exp(-log_odds(prior, bad_votes))))
+        sums = [F.coalesce(F.sum(F.when(F.col(r) == v, x)), F.lit(0.0)).alias(f"{k}{v}_{r}") for r in rules for v in (0, 1) for k, x in (("g", F.col("p")), ("b", F.col("n") - F.col("p")))]
+        row = weighed.agg(F.sum("p").alias("good"), F.sum("n").alias("all"), *sums).first()
         if not row["all"]:
             break
-        was = (prior, *accuracy.values())
-        prior = min(0.8, max(0.2, row["good"] / row["all"]))
+        was = (prior, *(x for r in rules for x in bad_votes[r]))
+        prior = held((row["good"] + WEIGHT * GOOD) / (row["all"] + WEIGHT))
         for r in rules:
-            if row[f"n_{r}"]:
-                accuracy[r] = min(ACCURACY[1], max(ACCURACY[0], (row[f"r_{r}"] / row[f"n_{r}"] + WEIGHT * BELIEF) / (1 + WEIGHT)))
-        if max(abs(x - y) for x, y in zip(was, (prior, *accuracy.values()), strict=True)) < 1e-4:
+            b, g = (held((row[f"{k}0_{r}"] + WEIGHT * m) / (row[f"{k}0_{r}"] + row[f"{k}1_{r}"] + WEIGHT)) for k, m in zip("bg", BELIEF, strict=True))
+            bad_votes[r] = (max(b, g), g)
+        if max(abs(x - y) for x, y in zip(was, (prior, *(x for r in rules for x in bad_votes[r])), strict=True)) < 1e-4:
             break
-    return prior, accuracy
+    return prior, bad_votes
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row a document: the measures, ``posterior`` of good and ``good`` at the threshold.
 
-    Null and empty texts have no words and fail by the vote on length. Repeated
+    Texts without words, null ones too, are never good. Repeated
     rows are counted each; a null key is carried along; other columns are not
     read. Without rows there is nothing to estimate and nothing is returned.
     """
@@ -143,6 +152,6 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     seen = measures(docs, key, text)
     seen = store.staged(seen.select("*", *[v.cast("int").alias(r) for r, v in rules.items()]), "votes")
     patterns = store.staged(seen.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")), "patterns")
-    prior, accuracy = estimate(patterns, list(rules))
-    posterior = 1 / (1 + F.exp(-log_odds(prior, accuracy)))
-    return seen.withColumn("posterior", posterior).withColumn("good", F.col("posterior") >= threshold)
+    prior, bad_votes = estimate(patterns, list(rules))
+    posterior = 1 / (1 + F.exp(-log_odds(prior, bad_votes)))
+    return seen.withColumn("posterior", posterior).withColumn("good", (F.col("n_words") > 0) & (F.col("posterior") >= threshold))

@@ -36,3 +36,18 @@ def test_measures_and_verdicts(spark):
 
 def test_no_rows(spark):
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_noisy_rule_is_outvoted(spark):
+    """Many documents in capitals, else plain: their peers overrule the vote on capitals, but not on junk with it."""
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    plain = [" ".join(words(120)) for _ in range(300)]
+    capitals = [" ".join(words(120)).upper() for _ in range(120)]
+    junk = [" ".join(w + "###" for w in words(100)) for _ in range(40)]
+    loud = [" ".join(w.upper() + "###" for w in words(100)) for _ in range(10)]
+    rows = [*plain, *capitals, *junk, *loud]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i].upper == 0 for i in range(300, 420))
+    assert all(got[i].good for i in range(420))
+    assert not any(got[i].good for i in range(420, 470))
