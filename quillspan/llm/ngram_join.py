@@ -258,11 +258,13 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     described = store.staged(own.mapInArrow(describe, "doc_id long, n_shingles long, sig binary"), "sets")
     known = described.where("doc_id is not null and sig is not null")
     leads = known.groupBy("sig").agg(F.min("doc_id").alias("lead"))
-    lead_of = known.join(leads, "sig").select("doc_id", "lead").distinct()
-    copies = lead_of.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    lead_of = known.join(leads, "sig").groupBy("doc_id").agg(F.collect_set("lead").alias("leads"))
+    copies = lead_of.select(F.explode("leads").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    # A lead stands in for a key only if it has all its texts; a key with texts of several leads is its own node.
+    sole = lead_of.where(F.size("leads") == 1).select(F.col("leads")[0].alias("a"), F.col("doc_id").alias("b")).where("a <> b")
 
     raw = store.staged(linking.star_edges(own.where("doc_id is not null").mapInArrow(keys, linking.Pairs.schema)), "candidates")
-    map_a, map_b = (copies.select(F.col("b").alias(x), F.col("a").alias(f"{x}_lead")) for x in "ab")
+    map_a, map_b = (sole.select(F.col("b").alias(x), F.col("a").alias(f"{x}_lead")) for x in "ab")
     tied = raw.join(map_a, "a", "left").join(map_b, "b", "left").select(F.coalesce("a_lead", "a").alias("a"), F.coalesce("b_lead", "b").alias("b"))
     clusters = store.staged(linking.components(tied.where("a <> b")), "clusters")
     items = linking.matching(own, "doc_id", clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))

@@ -117,3 +117,11 @@ def test_sieve(spark):
     left = [r.k for r in linking.without(docs, "k", ids).collect()]
     assert len(left) == 5000 - 715 and None in left and not {x for x in left if x is not None and x % 7 == 0}
     assert linking.without(docs, "k", ids.where("false")).count() == 5000
+
+
+def test_all_texts_of_a_repeated_key_link(spark):
+    """Key 5 copies document 3, and another of its texts is nearly that of 7: all three are one component."""
+    x, y = ([f"{p}{i}" for i in range(60)] for p in "xy")
+    rows = [(3, " ".join(x)), (5, " ".join(x)), (5, " ".join(y)), (7, " ".join([*y[:-1], "other"])), (9, " ".join(f"z{i}" for i in range(60)))]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {3: 3, 5: 3, 7: 3, 9: 9} and len(got) == 5
