@@ -6,7 +6,8 @@ the edits before and after it and the difference in length bound. A line is
 indexed by its own segments and probes, for each length it may meet, the
 substrings at the offsets that matter. Shared keys make candidate clusters; in
 each, the same index narrows the pairs and a banded bit-parallel edit distance
-decides.
+decides. The threshold follows the shorter line's length: one edit for each
+``per`` bytes, up to ``most``, so that short lines are not linked by chance.
 """
 
 from __future__ import annotations
@@ -23,6 +24,13 @@ from quillspan.llm import kernel, linking, store
 U64 = np.uint64
 NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
+#: Keys of a line, about.
+KEYS = 12
+
+
+def permitted(length, most: int, per: int):
+    """Edits within which lines are linked, the shorter of which has ``length`` bytes."""
+    return np.minimum(most, length // per)
 
 
 def segments(length: int, most: int) -> list[tuple[int, int]]:
@@ -69,8 +77,17 @@ def distance_within(a: bytes, b: bytes, most: int) -> bool:
     return bool(row[most] >> (len(b) - len(a) + most) & 1)
 
 
-def edit_join(most: int):
+def edit_join(most: int, per: int):
     """The join of ``linking.in_clusters`` on lines."""
+    bound = lambda length: min(most, length // per)
+    probes: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+
+    def places(length: int, shift: int) -> list[tuple[int, int, int]]:
+        """Segment, offset and size of what a line longer by ``shift`` looks up among lines of ``length``."""
+        if (length, shift) not in probes:
+            probes[length, shift] = [(i, at + d, size) for i, (at, size) in enumerate(segments(length, bound(length))) for d in offsets(i, shift, bound(length))
+                                     if at + d >= 0 and at + d + size <= length + shift]
+        return probes[length, shift]
 
     def join(first: list, second: list) -> Iterator[tuple[int, int]]:
         forest = linking.Forest()
@@ -78,44 +95,48 @@ def edit_join(most: int):
         held = [*first, *second]
         for k, (node, line) in enumerate(held):
             seen: set[int] = set()
-            for length in range(max(most + 1, len(line) - most), len(line) + most + 1):
-                for i, (at, size) in enumerate(segments(length, most)):
-                    for d in offsets(i, len(line) - length, most):
-                        if 0 <= at + d and at + d + size <= len(line):
-                            seen.update(index.get((length, i, line[at + d : at + d + size]), ()))
+            for length in range(len(line) - most, len(line) + most + 1):
+                if abs(len(line) - length) <= bound(min(length, len(line))) > 0:
+                    for i, at, size in places(length, len(line) - length):
+                        seen.update(index.get((length, i, line[at : at + size]), ()))
             for j in sorted(seen):
                 other, text = held[j]
-                if forest.root(other) != forest.root(node) and distance_within(text, line, most):
+                if forest.root(other) != forest.root(node) and distance_within(text, line, bound(min(len(text), len(line)))):
                     forest.tie(other, node)
                     yield other, node
             if k < len(first):
-                for i, (at, size) in enumerate(segments(len(line), most)):
+                for i, (at, size) in enumerate(segments(len(line), bound(len(line)))):
                     index.setdefault((len(line), i, line[at : at + size]), []).append(k)
 
     return join
 
 
-def line_keys(w: kernel.Words, pick: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def line_keys(w: kernel.Words, pick: np.ndarray, most: int, per: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys of the lines ``pick`` and the index into ``pick`` of each: a line's own segments, and what it probes."""
     start, size = w.start[pick], w.end[pick] - w.start[pick]
     data = kernel._bytes_table(1)[w.data]
     for shift in range(most + 1):
-        length = size - shift
-        for i in range(most + 1):
-            span = (length + i) // (most + 1)
-            at = sum((length + j) // (most + 1) for j in range(i)) if i else np.zeros_like(length)
-            for d in offsets(i, shift, most):
-                ok = np.flatnonzero((at + d >= 0) & (at + d + span <= size))
-                s = start[ok] + at[ok] + d
-                h = kernel.span_hashes(data, s, s + span[ok])
-                yield kernel.mix(h ^ kernel.mix((length[ok] * 16 + i).astype(U64))), ok
-
-
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2, least: int = 24) -> DataFrame:
+        edits = permitted(size - shift, most, per)
+        for t in range(max(1, shift), most + 1):
+            own = np.flatnonzero(edits == t)
+            length = size[own] - shift
+            at = np.zeros_like(length)
+            for i in range(t + 1):
+                span = (length + i) // (t + 1)
+                for d in offsets(i, shift, t):
+                    ok = np.flatnonzero((at + d >= 0) & (at + d + span <= length + shift))
+                    s = start[own[ok]] + at[ok] + d
+                    h = kernel.span_hashes(data, s, s + span[ok])
+                    yield kernel.mix(h ^ kernel.mix((length[ok] * 16 + i).astype(U64))), own[ok]
+                at = at + span
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2, per: int = 8) -> DataFrame:
     """One row a document: doc_id, n_lines, and removed, the numbers from 0 of the lines to go, ascending.
 
-    Lines are split at line feeds. Equal lines are linked, and lines of ``least``
-    bytes or more within ``most`` edits, over UTF-8 bytes. Of the lines that links
+    Lines are split at line feeds. Equal lines are linked, and lines within one edit
+    for each ``per`` bytes of the shorter one, ``most`` edits at most, over UTF-8
+    bytes. Of the lines that links
     tie together all but the first go, by key and then line number. Lines without
     any character but ASCII white space are kept and linked with nothing. Null
     texts have no line; an empty text has one. Rows of one key are one document:
@@ -142,18 +163,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(w.hashes()[seen].view(np.int64)), pa.array(ids[w.lo + doc]), pa.array(number[seen].astype(np.int32))], ["h", "doc_id", "line"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = linking.Pairs()
-            for w, seen, _ in lines(batch.column(1)):
-                long_ = seen[w.end[seen] - w.start[seen] >= least]
-                hashes = w.hashes()[long_]
-                _, at = np.unique(hashes, return_index=True)
-                for k, which in line_keys(w, long_[at], most):
-                    pairs.add(k, hashes[at][which].view(np.int64))
-                if pairs.full():
-                    yield pairs.batch()
-            yield pairs.batch()
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for w, seen, _ in lines(batch.column(1)):
+            hashes = w.hashes()[seen]
+            _, at = np.unique(hashes, return_index=True)
+            for k, which in line_keys(w, seen[at], most, per):
+                yield k, hashes[at][which].view(np.int64)
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,18 +181,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
 
     rows = store.staged(keyed.mapInArrow(occurrences, "h long, doc_id long, line int"), "lines")
     distinct = store.staged(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
-    edges = linking.star_edges(keyed.mapInArrow(keys, linking.Pairs.schema))
+    edges = linking.candidate_edges(keyed, keys_of, distinct.count() * KEYS)
     clusters = linking.components(edges).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
-    where = distinct.join(clusters, "h").select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.line").alias("line"), "h", "cluster").alias("r"))
+    where = distinct.join(clusters.hint("merge"), "h").select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.line").alias("line"), "h", "cluster").alias("r"))
     held = store.staged(where.groupBy("doc_id").agg(F.collect_list("r").alias("rows")), "held")
     items = linking.matching(keyed, "doc_id", held).select("doc_id", "text", "rows").mapInArrow(contents, "cluster long, node long, content binary")
     # Two lines of one hash would be one node; texts that differ in a document of several rows are left to their hash.
-    links = store.staged(linking.in_clusters(items.dropDuplicates(["node"]), edit_join(most)), "links")
+    links = store.staged(linking.in_clusters(items.dropDuplicates(["node"]), edit_join(most, per)), "links")
     groups = store.staged(linking.components(links).withColumnRenamed("node", "h"), "groups")
-    tied = distinct.join(groups, "h", "left").select("h", "n", "first", "component")
+    tied = distinct.join(groups.hint("merge"), "h", "left").select("h", "n", "first", "component")
     leads = tied.where("component is not null").groupBy("component").agg(F.min("first").alias("lead"))
-    lead = tied.where("component is not null or n > 1").join(leads, "component", "left").select("h", F.coalesce("lead", "first").alias("lead"))
-    gone = rows.join(lead, "h").where(F.struct("doc_id", "line") != F.col("lead"))
+    lead = tied.where("component is not null or n > 1").join(leads.hint("merge"), "component", "left").select("h", F.coalesce("lead", "first").alias("lead"))
+    gone = rows.join(lead.hint("merge"), "h").where(F.struct("doc_id", "line") != F.col("lead"))
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    return own.select("doc_id", n_lines.alias("n_lines")).join(gone, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    return own.select("doc_id", n_lines.alias("n_lines")).join(gone.hint("merge"), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from quillspan.llm import kernel, linking, store
 
 U64 = np.uint64
+#: Tasks over which the copies of one set are dealt.
+SALTS = 16
 
 
 def document_sets(column: pa.Array, k: int, lower: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -73,7 +75,9 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
 
     A linked pair agrees on as many parts as the scheme has, less their greatest
     difference at this set's size. If all of those were weak, both sets would have
-    so many weak parts; such sets, which are rare, share one more key in their class.
+    so many weak parts. Such sets, which are rare, add the members of their prefix:
+    in one global order, here that of the hashes, linked sets share one of the
+    first n - (least overlap) + 1 members of each.
     """
     n = np.array([len(s) for s in sets], np.int64)
     keep = n > 0
@@ -103,8 +107,12 @@ def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[
         lost = np.flatnonzero(np.bincount(owner, feeble, len(n)) >= agreed)
         strong = np.flatnonzero(~feeble)
         name = (c[owner[strong]] * (1 << 40) + which[strong] + 1).astype(U64)
-        keys += [kernel.mix(sums[strong] ^ kernel.mix(name)), kernel.mix((c[lost] * (1 << 40)).astype(U64) ^ U64(0x589965CC75374CC3))]
-        of += [nodes[owner[strong]], nodes[lost]]
+        keys.append(kernel.mix(sums[strong] ^ kernel.mix(name)))
+        of.append(nodes[owner[strong]])
+        for d in lost.tolist():
+            begins = sets[d][: n[d] + (-percent * n[d] // 100) + 1]
+            keys.append(kernel.mix(begins ^ kernel.mix(np.array([c[d] * (1 << 40)], np.int64).astype(U64))))
+            of.append(np.full(len(begins), nodes[d]))
     return np.concatenate(keys), np.concatenate(of)
 
 
@@ -230,7 +238,6 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     not read. n-grams are compared by 64-bit hashes of 64-bit word hashes, equal
     sets by 128 bits.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,14 +247,10 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
                 sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), pa.array(size), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "sig"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, pairs = batch.column(0).to_numpy(), linking.Pairs()
-            for lo, sets in document_sets(batch.column(1), n, lower):
-                pairs.add(*part_keys(sets, nodes[lo : lo + len(sets)], percent))
-                if pairs.full():
-                    yield pairs.batch()
-            yield pairs.batch()
+    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nodes = batch.column(0).to_numpy()
+        for lo, sets in document_sets(batch.column(1), n, lower):
+            yield part_keys(sets, nodes[lo : lo + len(sets)], percent)
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,18 +260,23 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     described = store.staged(own.mapInArrow(describe, "doc_id long, n_shingles long, sig binary"), "sets")
     known = described.where("doc_id is not null and sig is not null")
-    leads = known.groupBy("sig").agg(F.min("doc_id").alias("lead"))
-    lead_of = known.join(leads, "sig").groupBy("doc_id").agg(F.collect_set("lead").alias("leads"))
+    # Only repeated sets need a lead; a set with very many copies is spread over tasks by a salt.
+    leads = known.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leads = leads.select("sig", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    led = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(leads, ["sig", "salt"], "left")
+    lead_of = led.groupBy("doc_id").agg(F.collect_set(F.coalesce("lead", "doc_id")).alias("leads"))
+    lead_of = store.staged(lead_of.where((F.size("leads") > 1) | (F.col("leads")[0] != F.col("doc_id"))), "copies")
     copies = lead_of.select(F.explode("leads").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     # A lead stands in for a key only if it has all its texts; a key with texts of several leads is its own node.
     sole = lead_of.where(F.size("leads") == 1).select(F.col("leads")[0].alias("a"), F.col("doc_id").alias("b")).where("a <> b")
 
-    raw = store.staged(linking.star_edges(own.where("doc_id is not null").mapInArrow(keys, linking.Pairs.schema)), "candidates")
+    n_keys = int((described.agg(F.sum("n_shingles")).first()[0] or 0) * 3 * (100 - percent) / 100)
+    raw = store.staged(linking.contracted(linking.candidate_edges(own.where("doc_id is not null"), keys_of, n_keys)).distinct(), "candidates")
     map_a, map_b = (sole.select(F.col("b").alias(x), F.col("a").alias(f"{x}_lead")) for x in "ab")
-    tied = raw.join(map_a, "a", "left").join(map_b, "b", "left").select(F.coalesce("a_lead", "a").alias("a"), F.coalesce("b_lead", "b").alias("b"))
+    tied = raw.join(map_a.hint("merge"), "a", "left").join(map_b.hint("merge"), "b", "left").select(F.coalesce("a_lead", "a").alias("a"), F.coalesce("b_lead", "b").alias("b"))
     clusters = store.staged(linking.components(tied.where("a <> b")), "clusters")
     items = linking.matching(own, "doc_id", clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
     items = items.select("doc_id", "text", "cluster").mapInArrow(contents, "cluster long, node long, content binary")
     found = store.staged(linking.in_clusters(items.where(F.length("content") > 0), trie_join(percent)), "links")
     groups = linking.components(found.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
-    return described.join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return described.join(groups.hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

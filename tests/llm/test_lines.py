@@ -22,7 +22,7 @@ def test_distance():
             assert lines.distance_within(a, b, most) == (lev(a, b) <= most), (a, b, most)
 
 
-def brute(docs, most=2, least=24):
+def brute(docs, most=2, per=8):
     occ = [(i, n, x.encode()) for i, t in docs if t is not None and i is not None for n, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
     first = {}
     for i, n, x in occ:
@@ -37,7 +37,8 @@ def brute(docs, most=2, least=24):
 
     for k, x in enumerate(kinds):
         for y in kinds[:k]:
-            if min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= most and lev(x, y) <= most:
+            bound = min(most, min(len(x), len(y)) // per)
+            if abs(len(x) - len(y)) <= bound and lev(x, y) <= bound:
                 up[root(x)] = root(y)
     lead = {}
     for x in kinds:
@@ -67,3 +68,20 @@ def test_against_brute_force(spark):
     got = {r.doc_id: (r.n_lines, list(r.removed)) for r in lines.dedup_lines(df).collect()}
     assert got == brute(docs)
     assert lines.dedup_lines(df.where("false")).count() == 0
+
+
+def test_short_lines(spark):
+    """Lines of every length from 1 to 40 bytes, zero to three edits apart."""
+    rng = random.Random(11)
+    docs = []
+    for i in range(160):
+        x = "".join(rng.choice("abcd") for _ in range(1 + i % 40))
+        y = list(x)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(y)) if y else 0
+            rng.choice([lambda: y.insert(k, "z"), lambda: y and y.pop(k), lambda: y and y.__setitem__(k, "y")])()
+        docs += [(2 * i, x), (2 * i + 1, "".join(y) + "\n" + x[:3])]
+    docs += [(900, docs[80][1]), (900, docs[81][1])]  # one key, two rows
+    got = lines.dedup_lines(spark.createDataFrame(docs[:-2], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_lines, list(r.removed)) for r in got} == brute(docs[:-2])
+    assert len(lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id = 900").collect()) == 2
