@@ -121,17 +121,50 @@ TAIL[[ord(c) for c in ".,!?*#$%&;:"]] = True
 class Encoder:
     """Ids of whole texts from a tokenizer that never joins across ASCII white space.
 
-    Each distinct word is encoded once by the library and then looked up. Words
-    are cut at white space, and punctuation is cut off behind a final letter.
+    Each distinct word is encoded by the library and then looked up by the 64-bit
+    hash of its bytes, in flat arrays of about 30 bytes a word. Words are cut at
+    white space, and punctuation is cut off behind a final letter.
     """
 
-    #: Words remembered at most; beyond it the memory starts afresh.
-    REMEMBER = 200_000
+    #: Words remembered at most; beyond it the less used half goes.
+    REMEMBER = 1_000_000
 
     def __init__(self, path: str, lower: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.lower, self.known = Tokenizer.from_file(path), lower, {}
+        self.tokenizer, self.lower = Tokenizer.from_file(path), lower
+        self.flat, self.filled = np.zeros(1 << 16, np.uint32), 0  # ids of all words remembered, end to end
+        self.main, self.fresh = Memory.empty(), Memory.empty()
+
+    def places(self, hashes: np.ndarray, name) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin in ``flat``, and how many they are; ``name(i)`` is the text of word i of ``hashes`` (ascending)."""
+        begin, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        lack = self.main.find(hashes, np.arange(len(hashes)), begin, size)
+        lack = self.fresh.find(hashes, lack, begin, size)
+        if len(lack):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast([name(i) for i in lack.tolist()], add_special_tokens=False)]
+            size[lack] = n = np.array([len(x) for x in ids], np.int64)
+            begin[lack] = self.filled + np.cumsum(n) - n
+            end = self.filled + int(n.sum())
+            if end > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat) * 3 // 2) - len(self.flat), np.uint32)])
+            self.flat[self.filled : end] = np.fromiter((i for x in ids for i in x), np.uint32, end - self.filled)
+            self.filled = end
+            self.fresh = self.fresh.merged(Memory(hashes[lack], begin[lack], n, np.ones(len(lack), np.uint32)))
+        return begin, size
+
+    def settle(self) -> None:
+        """Merges the fresh words into the main memory, and forgets when it is too large."""
+        if len(self.fresh.h) * 8 > len(self.main.h):
+            self.main, self.fresh = self.main.merged(self.fresh), Memory.empty()
+        if len(self.main.h) > self.REMEMBER:
+            keep = np.sort(np.argsort(self.main.used, kind="stable")[len(self.main.h) // 2 :])
+            m = self.main
+            n = m.size[keep].astype(np.int64)
+            out = np.cumsum(n) - n
+            flat = self.flat[np.repeat(m.begin[keep] - out, n) + np.arange(n.sum())]
+            self.flat, self.filled = flat, len(flat)
+            self.main, self.fresh = Memory(m.h[keep], out, n, m.used[keep] // 2), Memory.empty()
 
     def batch(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By chunk: the first document, the ids of its documents, and where each document's begin."""
@@ -147,21 +180,39 @@ class Encoder:
             keep = start < end
             start, end = start[keep], end[keep]
             piece = np.concatenate([[0], np.cumsum(keep)])[2 * w.first]
-            at, inverse = kernel.distinct(kernel.span_hashes(kernel._bytes_table(1)[w.data], start, end))
-            raw = w.data.tobytes()
-            names = [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            if len(self.known) > self.REMEMBER:
-                self.known.clear()
-            new = [x for x in names if x not in self.known]
-            for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, np.uint32)
-            found = [self.known[x] for x in names]
-            size = np.array([len(x) for x in found], np.int64)
-            flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-            begin = (np.cumsum(size) - size)[inverse]
+            hashes = kernel.span_hashes(kernel._bytes_table(1)[w.data], start, end)
+            at, inverse = kernel.distinct(hashes)
+            begin, size = self.places(hashes[at], lambda i: w.data[start[at[i]] : end[at[i]]].tobytes().decode())
             n = size[inverse]
             out = np.concatenate([[0], np.cumsum(n)])
-            yield w.lo, flat[np.repeat(begin - out[:-1], n) + np.arange(out[-1])], out[piece]
+            yield w.lo, self.flat[np.repeat(begin[inverse] - out[:-1], n) + np.arange(out[-1])], out[piece]
+            self.settle()
+
+
+class Memory:
+    """Words by the hash of their bytes, ascending: where their ids begin, how many they are, and how often they were asked for."""
+
+    def __init__(self, h: np.ndarray, begin: np.ndarray, size: np.ndarray, used: np.ndarray):
+        self.h, self.begin, self.size, self.used = h, begin.astype(np.uint32), size.astype(np.uint32), used
+
+    @classmethod
+    def empty(cls) -> Memory:
+        return cls(np.zeros(0, np.uint64), *(np.zeros(0, np.uint32) for _ in range(3)))
+
+    def find(self, hashes: np.ndarray, which: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Fills in what is known of the words ``which``; returns the others."""
+        if not len(self.h):
+            return which
+        at = np.minimum(np.searchsorted(self.h, hashes[which]), len(self.h) - 1)
+        hit = self.h[at] == hashes[which]
+        own, at = which[hit], at[hit]
+        begin[own], size[own] = self.begin[at], self.size[at]
+        self.used[at] += 1
+        return which[~hit]
+
+    def merged(self, other: Memory) -> Memory:
+        at = np.searchsorted(self.h, other.h)
+        return Memory(*(np.insert(getattr(self, x), at, getattr(other, x)) for x in ("h", "begin", "size", "used")))
 
 
 def _letters(data: np.ndarray, core: np.ndarray) -> np.ndarray:
