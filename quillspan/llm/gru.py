@@ -39,7 +39,7 @@ TRAINED = ("I", "U", "b", "C", "c", "O", "o")
 
 
 def lanes(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Position of the token at each step and lane (-1: none), and whether a document starts there."""
+    """Position of the token at each step and lane (-1: none), and whether a document starts there; the longest lane first."""
     width = max(1, min(width, len(sizes)))
     begin = np.cumsum(sizes) - sizes
     load, of = np.zeros(width, np.int64), [[] for _ in range(width)]
@@ -49,9 +49,9 @@ def lanes(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         load[lane] += sizes[d]
     at = np.full((int(load.max()), width), -1, np.int32)
     first = np.zeros(at.shape, bool)
-    for lane, docs in enumerate(of):
+    for lane, full in enumerate(np.argsort(-load, kind="stable").tolist()):
         step = 0
-        for d in docs:
+        for d in of[full]:
             at[step : step + sizes[d], lane] = np.arange(begin[d], begin[d] + sizes[d])
             first[step, lane] = sizes[d] > 0
             step += sizes[d]
@@ -62,19 +62,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_prob(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The log softmax of each row at its column k; x is overwritten."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(k)), k]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(1))
 
 
 def _steps(m: dict, tokens: np.ndarray, at: np.ndarray, first: np.ndarray, end: int) -> Iterator[tuple]:
-    """For each window: its positions, inputs, starts, and the states before and after each step."""
+    """For each window: its positions, inputs, starts, and the states before and after each step.
+
+    Lanes that have ended, which are the last ones, take no part.
+    """
     hidden = len(m["U"])
     h = np.zeros((at.shape[1], hidden), F32)
     before = np.where(first | (at <= 0), end, tokens[np.maximum(at - 1, 0)])
     for lo in range(0, len(at), WINDOW):
-        rows = slice(lo, lo + WINDOW)
+        rows = np.s_[lo : lo + WINDOW, : int((at[lo] >= 0).sum())]
         x, f = m["I"][before[rows]] + m["b"], first[rows]  # looked up here, as training changes them between windows
+        h = h[: f.shape[1]]
         past, now, gates = [], [], []
         for t in range(len(f)):
             if f[t].any():
@@ -107,19 +122,24 @@ def score(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int =
             live = at >= 0
             spot, h = at[live], np.stack(now)[live]
             words = tokens[spot]
-            p = _log_softmax(h @ m["C"] + m["c"])[np.arange(len(words)), m["of"][words]]
+            p = _log_prob(h @ m["C"] + m["c"], m["of"][words])
             for c, part in _by_class(m["of"], words):
                 a, z = m["edge"][c], m["edge"][c + 1]
                 if z - a > 1:
-                    p[part] += _log_softmax(h[part] @ m["O"][:, a:z] + m["o"][a:z])[np.arange(len(part)), words[part] - a]
+                    p[part] += _log_prob(h[part] @ m["O"][:, a:z] + m["o"][a:z], words[part] - a)
             out[spot] = p
     sums = np.concatenate([[0.0], np.cumsum(out)])
     ends = np.cumsum(sizes)
     return (sums[ends] - sums[ends - sizes]) / np.log(10)
 
 
-def train(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int = 32, rate: float = 0.1, epochs: int = 1) -> dict:
+#: Windows that a shard is learned from in, about; it sets how many documents advance side by side.
+UPDATES = 250
+
+
+def train(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int | None = None, rate: float = 0.2, epochs: int = 1) -> dict:
     """One pass (or more) of truncated backpropagation with Adagrad; returns new parameters."""
+    width = width or int(np.clip(len(tokens) // (UPDATES * WINDOW), 16, 256))
     m = m | {k: m[k].copy() for k in TRAINED}
     total = {k: np.full_like(m[k], 1e-3) for k in TRAINED}
     hidden = len(m["U"])
@@ -136,7 +156,7 @@ def train(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int =
             if not live.any():
                 continue
             h, words = np.stack(now)[live], tokens[at[live]]
-            d = np.exp(_log_softmax(h @ m["C"] + m["c"]))
+            d = _softmax(h @ m["C"] + m["c"])
             d[np.arange(len(words)), m["of"][words]] -= 1
             back = d @ m["C"].T
             move("C", h.T @ d)
@@ -145,7 +165,7 @@ def train(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int =
                 a, z = m["edge"][c], m["edge"][c + 1]
                 if z - a == 1:
                     continue
-                d = np.exp(_log_softmax(h[part] @ m["O"][:, a:z] + m["o"][a:z]))
+                d = _softmax(h[part] @ m["O"][:, a:z] + m["o"][a:z])
                 d[np.arange(len(part)), words[part] - a] -= 1
                 back[part] += d @ m["O"][:, a:z].T
                 move("O", h[part].T @ d, np.s_[:, a:z])

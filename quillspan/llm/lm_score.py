@@ -39,11 +39,11 @@ class Settings:
 
     vocabulary: int = 2000
     growth: int = 3
-    head: int = 100_000
+    head: int = 400_000
     hidden: int = 16
     classes: int = 32
     rounds: int = 2
-    shard: int = 1500
+    shard: int = 3000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -86,20 +86,31 @@ def token_ids(column: pa.Array, words: np.ndarray, ids: np.ndarray, end: int) ->
         yield w.lo, np.insert(place[inverse], close, -2), np.insert(model[inverse], close, end), np.insert(hashes, close, 0), n + 1
 
 
+def coder(known: Broadcast):
+    """Turns (doc_id, text, shard) into (shard, doc_id, ids): model ids as 32-bit integers, the end included."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = known.value
+        for batch in batches:
+            for lo, place, model_id, _, n in token_ids(batch.column(1), k["h"], k["id"], k["end"]):
+                ids = np.where(place == -1, k["other"], model_id).astype("<i4").tobytes()
+                at = 4 * np.concatenate([[0], np.cumsum(n)])
+                data = pa.array([ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, len(n)), batch.column(0).slice(lo, len(n)), data], ["shard", "doc_id", "ids"])
+
+    return encode
+
+
 def learner(known: Broadcast, start: Broadcast):
-    """Trains from ``start`` on the documents (doc_id, text) of a shard; gives the tokens seen and blocks of parameters."""
+    """Trains from ``start`` on the documents (shard, doc_id, ids) of a shard; gives the tokens seen and blocks of parameters."""
 
     def learn_shard(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        k, ids, sizes = known.value, [], []
-        for _, place, model_id, _, n in token_ids(group["text"].combine_chunks(), k["h"], k["id"], k["end"]):
-            ids.append(np.where(place == -1, k["other"], model_id))
-            sizes.append(n)
-        got = gru.train(start.value, np.concatenate(ids), np.concatenate(sizes), k["end"])
+        rows = group.sort_by([("doc_id", "ascending"), ("ids", "ascending")])["ids"].to_pylist()
+        sizes = np.array([len(x) // 4 for x in rows], np.int64)
+        got = gru.train(start.value, np.frombuffer(b"".join(rows), "<i4"), sizes, known.value["end"])
         values = np.concatenate([got[x].ravel() for x in gru.TRAINED]).astype(np.float32)
         blocks = [values[i : i + BLOCK] for i in range(0, len(values), BLOCK)]
-        weight = np.full(len(blocks), float(np.concatenate(sizes).sum()))
-        return pa.table({"i": np.arange(len(blocks)), "weight": weight, "values": pa.array(blocks, pa.list_(pa.float32()))})
+        return pa.table({"i": np.arange(len(blocks)), "weight": np.full(len(blocks), float(sizes.sum())), "values": pa.array(blocks, pa.list_(pa.float32()))})
 
     return learn_shard
 
@@ -162,10 +173,12 @@ def lm_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
     model = gru.start(-np.sort(-mass), s.hidden, max(s.classes, math.isqrt(top)))
     pieces = max(1, math.ceil(n_docs / (s.rounds * s.shard)))
     shared = spark.sparkContext.broadcast(known)
+    kind = own.schema["doc_id"].dataType.simpleString()
 
     for turn in range(s.rounds if n_docs else 0):
         dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.rounds * pieces))
         part = training.where(dealt % s.rounds == turn).select("doc_id", "text", F.floor(dealt / s.rounds).alias("shard"))
+        part = part.mapInArrow(coder(shared), f"shard long, doc_id {kind}, ids binary")
         shards = part.groupBy("shard").applyInArrow(learner(shared, spark.sparkContext.broadcast(model)), "i long, weight double, values array<float>")
         model = average(shards, model)
     final = spark.sparkContext.broadcast(model)
@@ -203,7 +216,6 @@ def lm_score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "t
             if ids:
                 yield from flush(ids, sizes, rows)
 
-    kind = own.schema["doc_id"].dataType.simpleString()
     first = store.staged(own.select("doc_id", "text").mapInArrow(score, f"uid long, doc_id {kind}, n_tokens long, n_known long, base double, score double, tail array<long>"), "scored")
     # Words beyond the head: their counts come by a join; none of them is frequent.
     tail = first.select("uid", F.explode("tail").alias("h")).groupBy("uid", "h").agg(F.count(F.lit(1)).alias("n")).join(counts, "h")
