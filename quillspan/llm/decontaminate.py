@@ -1,12 +1,13 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations only.
 
 A window of a benchmark item is a set of positioned shingles of three words. For
-exact containment one shingle of a window must occur, so its necessary prefix is
-its rarest one by count over all documents. The documents' shingles are joined
-with all shingles of windows once (a hash join, broadcast if Spark finds the
-benchmark small enough), counted, and only the rarest of each window goes on;
-length and position bounds place the window in the document, and the words
-around the match are compared with the window's, word by word.
+exact containment all shingles of a window must occur, so its necessary prefix is
+its rarest one by count over all documents. A first pass only counts how often
+the benchmark's shingles occur. A second joins the documents' shingles with the
+prefixes alone; length and position bounds place the window in the document, and
+the words around the match are compared with the window's, word by word. Joins
+are broadcast up to ``MAX_BROADCAST`` shingles; beyond it they shuffle hashes and
+positions, and words are fetched only for what has matched.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ def windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, min_items: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated.
+    """One row a document: doc_id, n_words, n_hit, n_items, items (sorted strings), n_full (items with an occurring window of
+    ``size`` words), contaminated.
 
     A window is ``size`` consecutive words of an item, or all words of a shorter
     one. A document word inside any occurrence of a window is hit. Null or empty
@@ -57,30 +59,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, min_item
     grams = held.select("window_id", "window", "n").distinct().select("window_id", "window", "n", width.alias("width"), F.explode(F.sequence(F.lit(0), F.col("n") - width)).alias("off"))
     gram = F.slice("window", F.col("off") + 1, F.col("width"))
     grams = store.staged(grams.withColumn("h", F.xxhash64(F.transform(gram, F.lower))), "shingles")
-    wanted = grams.select("width", "h").distinct()
-    sizes = {r["width"]: r["n"] for r in wanted.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows at most
-
     words = own.select("doc_id", "row", "raw", F.posexplode("raw").alias("pos", "word"))
-    found = []
-    for m, n in sizes.items():
+    reach = size - 1
+
+    def meets(m: int, side: DataFrame, few: bool, *more: str) -> DataFrame:
+        """The places of the shingles of m words that are among ``side`` (h)."""
         folded = [F.lower(F.get("raw", F.col("pos") + i)) for i in range(m)]
-        side = wanted.where(F.col("width") == m).select("h")
-        hits = words.withColumn("h", F.xxhash64(*folded)).join(F.broadcast(side) if n <= MAX_BROADCAST else side, "h")
-        reach = size - m
-        found.append(hits.select(
-            "doc_id", "row", "h", F.lit(m).alias("width"), F.col("pos").alias("at"), F.least(F.col("pos"), F.lit(reach)).alias("lead"),
-            F.slice("raw", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + m + reach).alias("around")))
+        every = words.select("doc_id", "row", *more, "pos", F.xxhash64(*folded).alias("h"))
+        return every.join(F.broadcast(side) if few else side.hint("merge"), "h")
+
+    def split(tokens: DataFrame) -> list[tuple[int, DataFrame, bool]]:
+        """Distinct shingles (width, h) by width, and whether they are few enough to broadcast."""
+        distinct = tokens.select("width", "h").distinct()
+        sizes = distinct.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # three rows at most
+        return [(r["width"], distinct.where(F.col("width") == r["width"]).select("h"), r["n"] <= MAX_BROADCAST) for r in sizes]
+
     counts = own.select("doc_id", "row", (F.size("raw") - edge_blanks("raw")).cast("long").alias("n_words"))
+    found = [meets(m, side, few).groupBy("h").agg(F.count(F.lit(1)).alias("df")).withColumn("width", F.lit(m)) for m, side, few in split(grams)]
     if not found:
         none = F.lit(0).cast("long")
-        return counts.select("doc_id", "n_words", none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
-    matches = store.staged(reduce(DataFrame.unionByName, found), "matches")
-
-    rarity = matches.groupBy("width", "h").agg(F.count(F.lit(1)).alias("df"))
+        return counts.select("doc_id", "n_words", none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"), none.alias("n_full"), F.lit(False).alias("contaminated"))
+    rarity = store.staged(reduce(DataFrame.unionByName, found), "rarity")
     prefix = grams.join(rarity, ["width", "h"]).groupBy("window_id", "window", "n", "width").agg(
         F.min_by(F.struct("h", "off"), F.struct("df", "off")).alias("p"), F.count(F.lit(1)).alias("present"))
     prefix = prefix.where(F.col("present") == F.col("n") - F.col("width") + 1).select("window_id", "window", "n", "width", "p.h", "p.off")
-    items = held.groupBy("window_id", "window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    prefix = store.staged(prefix, "prefix")
+
+    found = [grams.select("window_id").where("false").select(F.lit(None).cast(own.schema["doc_id"].dataType).alias("doc_id"), *(F.lit(None).cast(t).alias(c) for c, t in (
+        ("row", "long"), ("h", "long"), ("width", "int"), ("at", "int"), ("lead", "int"), ("around", "array<string>"))))]
+    for m, side, few in split(prefix):
+        if few:
+            hits = meets(m, side, True, "raw")
+        else:
+            at = meets(m, side, False).groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "h")).alias("spots")).withColumnsRenamed({"doc_id": "d", "row": "r"})
+            hits = own.dropDuplicates(["doc_id", "row"]).join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+            hits = hits.select("doc_id", "row", "raw", F.inline("spots"))
+        found.append(hits.select(
+            "doc_id", "row", "h", F.lit(m).alias("width"), F.col("pos").alias("at"), F.least(F.col("pos"), F.lit(reach)).alias("lead"),
+            F.slice("raw", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + m + reach).alias("around")))
+    matches = store.staged(reduce(DataFrame.unionByName, found), "matches")
+    items = held.groupBy("window_id", "window").agg(F.collect_set(F.struct(F.col("item_id").cast("string").alias("item"), (F.col("n") == size).alias("full"))).alias("items"))
     prefix = prefix.join(items, ["window_id", "window"])
     placed = matches.join(prefix, ["width", "h"]).where(
         (F.col("lead") >= F.col("off")) & (F.size("around") - F.col("lead") >= F.col("n") - F.col("off")))
@@ -90,13 +108,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, min_item
     before = F.max("end").over(Window.partitionBy("doc_id", "row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.col("start"))))
     hit = spans.withColumn("fresh", fresh).groupBy("doc_id", "row").agg(
-        F.sum("fresh").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        F.sum("fresh").cast("long").alias("n_hit"), F.flatten(F.collect_set("items")).alias("both"))
+    named = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: x["item"]), lambda x: x.isNotNull())))
+    hit = hit.select("doc_id", "row", "n_hit", named(F.col("both")).alias("items"), F.size(named(F.filter("both", lambda x: x["full"]))).cast("long").alias("n_full"))
     hit = hit.withColumnsRenamed({"doc_id": "d", "row": "r"})
     out = counts.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left")
     items_col = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items_col).cast("long").alias("n_items"),
-        items_col.alias("items"), (F.size(items_col) >= min_items).alias("contaminated"))
+        items_col.alias("items"), F.coalesce("n_full", F.lit(0).cast("long")).alias("n_full"), (F.size(items_col) >= min_items).alias("contaminated"))
 
 
 def edge_blanks(raw: str) -> Column:

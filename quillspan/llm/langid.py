@@ -17,17 +17,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm import kernel
+from quillspan.llm import kernel, sample
 
 SIZES = (5, 4, 3, 2, 1)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_train: rows that are learned from at most, an equal share a language; max_known: words, and pieces of
-    each size, kept at most, the commonest; smooth: added to each count."""
+    """max_train, max_bytes: rows that are learned from at most, an equal share a language, and the bytes of all their
+    texts; max_known: words, and pieces of each size, kept at most, the commonest; smooth: added to each count."""
 
     max_train: int = 8000
+    max_bytes: int = 64 << 20
     max_known: int = 150_000
     smooth: float = 0.5
 
@@ -119,15 +120,24 @@ def _has_letter(column: pa.Array, w: kernel.Words, d: int, counted: np.ndarray)
 
 
 def train(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
-    """Learns from at most ``max_train`` rows with a text and a language, each language's by a hash of the key."""
+    """Learns from at most ``max_train`` rows with a text and a language, and ``max_bytes`` of text.
+
+    Each language gives an equal share of the rows, the first by a hash of the key. Rows of a language that has
+    many are thinned out by that hash before they are ranked, so no task ranks much more than a share. Repeated
+    rows count once; with more languages than rows, the first languages by name get one each.
+    """
     own = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    n = own.agg(F.count_distinct("l")).first()[0]
+    counts = own.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    n = counts.count()
     if not n:
         return fit(pa.array([], pa.string()), [], s)
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    picked = own.select("k", "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, s.max_train // n)).select("k", "l").distinct()
-    rows = own.join(F.broadcast(picked), ["k", "l"]).select("k", "l", "t")  # picked: max_train rows at most
-    rows = rows.toArrow().sort_by([("k", "ascending"), ("l", "ascending"), ("t", "ascending")])
+    share = max(1, s.max_train // n)
+    u = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / float(1 << 40)
+    near = own.select("k", "l", u.alias("u")).join(counts, "l").where(F.col("u") * F.col("n") <= 2 * share + 100).select("k", "l", "u").distinct()
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("u", "k"))).where(F.col("r") <= share).select("r", "l", "k")
+    picked = ranked.orderBy("r", "l", "k").limit(s.max_train).select("r", F.col("l").alias("pl"), F.col("k").alias("pk"))
+    rows = own.join(F.broadcast(picked), F.col("k").eqNullSafe(F.col("pk")) & (F.col("l") == F.col("pl"))).select("r", "l", "k", "t")
+    rows = sample.bounded(rows, "t", ["r", "l", "k"], s.max_train, s.max_bytes)
     return fit(rows["t"].combine_chunks(), rows["l"].to_pylist(), s)
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.llm import linking
+
 #: Ranges of keys that a source's prefix sums are taken over, before those within a range.
 RANGES = 4096
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -97,7 +99,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings)
 
     Rows of equal key and text are taken equally often. All columns are kept.
     """
-    plan = mix(docs, key, text, **settings).groupBy("doc_id", "text_hash").agg(F.max(F.col("epochs") + F.col("extra")).cast("int").alias("_times"))
-    plan = plan.where("_times > 0").withColumnsRenamed({"doc_id": "_key", "text_hash": "_hash"})
-    joined = docs.join(plan, docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_hash")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_turn")).drop("_turn")
+    times, own, hashed, turn = linking.spare(docs.columns, "times", "key", "hash", "turn")
+    plan = mix(docs, key, text, **settings).groupBy("doc_id", "text_hash").agg(F.max(F.col("epochs") + F.col("extra")).cast("int").alias(times))
+    plan = plan.where(F.col(times) > 0).withColumnsRenamed({"doc_id": own, "text_hash": hashed})
+    joined = docs.join(plan.hint("merge"), docs[key].eqNullSafe(F.col(own)) & (F.xxhash64(docs[text]) == F.col(hashed)))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(turn)).drop(turn)

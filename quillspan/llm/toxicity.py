@@ -2,9 +2,10 @@
 
 A word is the mean of the embeddings of its character n-grams and of the whole
 word, so that an unseen misspelling shares most of its vectors with the word it
-distorts. A document is the mean of its
-distinct words, each weighted by the root of its count, which damps repetition. Only the sample that the model is
-fitted on is bounded; every document is scored over its whole text.
+distorts. A document is the mean of its words. N-grams seen in hardly any training
+document have no vector, so that what is new adds nothing rather than noise. Only
+the sample that the model is fitted on is bounded; every document is scored over
+its whole text.
 """
 
 from __future__ import annotations
@@ -18,19 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.llm import kernel
+from quillspan.llm import kernel, sample
 
-SIZES = (3, 4, 5)
+SIZES = (2, 3, 4)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_train: labelled rows that the model is fitted on at most; buckets: of hashed n-grams; steps: batches in all, over as many epochs as they fill."""
+    """max_train, max_bytes: labelled rows that the model is fitted on at most, and the bytes of all their texts; buckets: of
+    hashed n-grams; least: training documents that a bucket must occur in to have a vector; steps: batches in all, over as
+    many epochs as they fill."""
 
     max_train: int = 6000
+    max_bytes: int = 48 << 20
     buckets: int = 1 << 17
     dim: int = 4
-    steps: int = 500
+    least: int = 4
+    steps: int = 600
     batch: int = 64
     rate: float = 1.0
     seed: int = 7
@@ -58,7 +63,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, settings: Settings = Settings()) ->
     """
     rng = np.random.default_rng(settings.seed)
     docs: list[tuple[int, int, int]] = []  # per document: its chunk, and where its words lie there
-    chunks: list[tuple[np.ndarray, ...]] = []  # distinct words of documents, roots of their counts, subword ids by word, where a word's begin, how many
+    chunks: list[tuple[np.ndarray, ...]] = []  # distinct words of documents, their counts, subword ids by word, where a word's begin, how many
     for lo, hi, ids, of, token, first in bags(texts, settings.buckets):
         per = np.bincount(of, minlength=(of.max() + 1) if len(of) else 0)
         kinds = len(per) + 1
@@ -66,18 +71,22 @@ def fit(texts: pa.Array, toxic: np.ndarray, settings: Settings = Settings()) ->
         cut = np.searchsorted(pairs, np.arange(hi - lo + 1) * kinds).tolist()
         docs += [(len(chunks), x, y) for x, y in zip(cut[:-1], cut[1:], strict=True)]
         sub = ids[np.argsort(of, kind="stable")].astype(np.int32)
-        chunks.append(((pairs % kinds).astype(np.int32), np.sqrt(n).astype(np.float32), sub, np.concatenate([[0], np.cumsum(per)]), per))
+        chunks.append(((pairs % kinds).astype(np.int32), n.astype(np.float32), sub, np.concatenate([[0], np.cumsum(per)]), per))
 
     def expanded(i: int) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of a document and their coefficients in its mean."""
         chunk, x, y = docs[i]
-        words, roots, sub, begin, per = chunks[chunk]
-        words, n = words[x:y], roots[x:y]
+        words, counts, sub, begin, per = chunks[chunk]
+        words, n = words[x:y], counts[x:y]
         k = per[words]
         spot = np.repeat(begin[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         return sub[spot], np.repeat(n / k / max(1, n.sum()), k).astype(np.float32)
 
-    emb = rng.normal(0, 0.3, (settings.buckets, settings.dim)).astype(np.float32)
+    held_by = np.zeros(settings.buckets, np.int64)
+    for i in range(len(docs)):
+        held_by[np.unique(expanded(i)[0])] += 1
+    seen = held_by >= settings.least
+    emb = np.zeros((settings.buckets, settings.dim), np.float32)  # the class vectors start at random, which sets them apart
     out = rng.normal(0, 0.3, (2, settings.dim)).astype(np.float32)
     rate = float(np.clip(np.mean(toxic), 1e-3, 1 - 1e-3)) if len(toxic) else 1e-3
     bias = np.log(np.array([1 - rate, rate])).astype(np.float32)
@@ -90,6 +99,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, settings: Settings = Settings()) ->
             bag = [expanded(i) for i in pick]
             n = np.array([len(x) for x, _ in bag])
             ids, coef = np.concatenate([x for x, _ in bag]), np.concatenate([x for _, x in bag])
+            coef *= seen[ids]
             row = np.repeat(np.arange(len(pick)), n)
             mean = np.stack([np.bincount(row, coef * emb[ids, j], len(pick)) for j in range(settings.dim)], 1)
             logits = mean @ out.T + bias
@@ -111,21 +121,22 @@ def score(column: pa.Array, model: dict) -> np.ndarray:
         words = np.bincount(of, model["weight"][ids]) / np.maximum(1, np.bincount(of)) if len(of) else np.zeros(0)
         kinds = len(words) + 1
         pairs, n = np.unique(np.repeat(np.arange(hi - lo), np.diff(first)) * kinds + token, return_counts=True)
-        n = np.sqrt(n)
         mean = np.bincount(pairs // kinds, n * words[pairs % kinds], hi - lo) / np.maximum(1, np.bincount(pairs // kinds, n, hi - lo))
         scores[lo:hi] = 1 / (1 + np.exp(-np.clip(mean + model["bias"], -60, 60)))
     return scores
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
-    """Fits on at most ``max_train`` labelled rows, chosen by a hash of the key; null labels are left out."""
-    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1)).distinct()
-    rows = (
-        known.orderBy(F.xxhash64("_k"), "_k", "_y").limit(settings.max_train)
-        .join(docs.select(F.col(key).alias("_k"), F.coalesce(text, F.lit("")).alias("_t")), "_k")
-        .select("_k", "_t", "_y").toArrow().sort_by([("_k", "ascending"), ("_y", "ascending"), ("_t", "ascending")])
-    )
-    return fit(rows["_t"].combine_chunks(), rows["_y"].to_numpy().astype(np.int64), settings)
+    """Fits on at most ``max_train`` labelled rows of at most ``max_bytes`` of text, the first by a hash of the key.
+
+    Labels other than 0 and 1 and null keys are left out; repeated rows count once; rows of one key with several
+    texts or labels count each, within the same bounds.
+    """
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull()).distinct()
+    picked = known.withColumn("at", F.xxhash64("k")).orderBy("at", "k", "y").limit(settings.max_train)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")
+    rows = sample.bounded(rows, "t", ["at", "k", "y"], settings.max_train, settings.max_bytes)
+    return fit(rows["t"].combine_chunks(), rows["y"].to_numpy().astype(np.int64), settings)
 
 
 def toxicity(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.5, score_as: str = "toxic_score", flag_as: str = "is_toxic") -> DataFrame:

@@ -45,3 +45,36 @@ def test_stages(spark, tmp_path):
     want = sorted((r.doc_id, zlib.crc32(np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in kept[3])
     assert sorted((r.doc_id, r.ids_crc32) for r in kept[4]) == want
     assert len(p.STAGES) == 5 and p.ORACLE_SQL is None
+
+
+def test_edge_cases(spark, tmp_path):
+    """Clashing names, null keys, repeated rows, very long and empty texts, ties, a null source."""
+    rng = random.Random(5)
+    text = lambda n=40: " ".join("".join(rng.choice("aeioutnshr") for _ in range(5)) for _ in range(n))
+    x, long_, short = text(), text(30_000), "tiny item"
+    rows = [
+        (1, x, "a"), (1, x, "a"), (2, x, "a"), (3, text(), None), (3, text(), "b"), (None, text(), "b"), (None, None, "b"), (4, None, "b"), (5, "", "b"),
+        (6, long_, "c"), (7, long_, "c"), (8, f"{text()} {short} {text()}", "c"),
+    ]
+    names = "_piece long, _maybe string, _at long, _bits string, _turn int, _times int, _key string, _hash long, is_toxic string, toxic_score string, _row int, _again int"
+    extra = (1, "m", 2, "b", 3, 4, "k", 5, "kept", "too", 6, 7)
+    spark.createDataFrame([(*r, *extra) for r in rows], f"doc_id long, text string, source string, {names}").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, short), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in p.STAGES:
+        docs = p.store.staged(stage(spark, docs, str(tmp_path)), name)
+        kept.append(docs.collect())
+    assert len(kept[0]) == len(rows) and {r.is_toxic for r in kept[0]} == {"kept"}
+    ids = lambda rows: sorted((r.doc_id is not None, r.doc_id or 0) for r in rows)
+    left = ids([type("R", (), {"doc_id": i}) for i in (None, None, 1, 3, 4, 5, 6, 8)])
+    assert ids(kept[1]) == left and ids(kept[2]) == left  # one short item leaves document 8 alone
+    assert all(r._turn == 3 and r._maybe == "m" for r in kept[3])
+    assert {r.doc_id for r in kept[4]} == {r.doc_id for r in kept[3]}
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0

@@ -37,3 +37,41 @@ def test_nothing_to_learn(spark):
     model = toxicity.train(docs, none)
     assert all(not r.is_toxic for r in toxicity.toxicity(docs, model).collect())
     assert toxicity.toxicity(docs.where("false"), model).count() == 0
+
+
+def test_bounds_hold(spark):
+    """Repeated keys, many texts of one key, and long texts: never more rows or bytes than the settings say."""
+    rows = [(1, f"text number {i} " + "word " * 50) for i in range(40)] + [(2, "same")] * 30 + [(3, "other " * 3000), (4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    seen = []
+
+    def fit(texts, toxic, settings):
+        seen.append(texts.to_pylist())
+        return {"weight": None, "bias": 0.0, "buckets": 1}
+
+    whole, toxicity.fit = toxicity.fit, fit
+    try:
+        for most, size in ((2, 1 << 20), (1000, 1 << 20), (1000, 400)):
+            toxicity.train(docs, labels, toxicity.Settings(max_train=most, max_bytes=size))
+    finally:
+        toxicity.fit = whole
+    assert len(seen[0]) <= 2 and len(seen[1]) == 80 + 1 + 1 + 1 and sum(map(len, seen[2])) <= 400
+
+
+def test_scores_by_brute_force():
+    """The score is the logistic of the mean over words of the mean weight of their pieces."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    model = {"weight": rng.normal(0, 3, 64).astype(np.float32), "bias": -0.4, "buckets": 64}
+    texts = ["Bad bad word", "", None, "ünï word" * 300, "a", "tie tie TIE"]
+    got = toxicity.score(pa.array(texts), model)
+    for text, s in zip(texts, got, strict=True):
+        mean, n = 0.0, 0
+        for _, _, ids, of, token, _ in toxicity.bags(pa.array([text], pa.string()), 64):
+            for t in token:
+                own = ids[of == t]
+                mean, n = mean + float(np.mean(model["weight"][own])), n + 1
+        want = 1 / (1 + np.exp(-(mean / max(1, n) + model["bias"])))
+        assert abs(s - want) < 1e-4
