@@ -129,6 +129,7 @@ def words(column: pa.Array, lower: bool = False, limit: int = CHUNK, space: np.n
         start = np.flatnonzero(word & ~before[:-1])
         end = np.flatnonzero(word & ~after[1:]) + 1
         yield Words(lo, hi, own, start, end, np.searchsorted(start, bounds), bounds)
+    pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back
 
 
 def shingle_hashes(w: Words, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:

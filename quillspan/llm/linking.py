@@ -24,9 +24,9 @@ BLOCK_BYTES = 8 << 20
 
 
 #: Keys that a task holds before it deals them out.
-HELD = 1_000_000
+HELD = 500_000
 #: Keys of one bucket, about.
-BUCKET = 1_000_000
+BUCKET = 500_000
 #: Bytes kept of a key; the bucket holds the rest. Keys that agree by chance only add candidates.
 KEY_BYTES = 6
 

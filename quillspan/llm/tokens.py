@@ -15,6 +15,7 @@ A shard file, all numbers little-endian:
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -118,6 +119,10 @@ TAIL = np.zeros(256, bool)
 TAIL[[ord(c) for c in ".,!?*#$%&;:"]] = True
 
 
+#: New words that go to the library at once.
+AT_ONCE = 4096
+
+
 class Encoder:
     """Ids of whole texts from a tokenizer that never joins across ASCII white space.
 
@@ -127,9 +132,10 @@ class Encoder:
     """
 
     #: Words remembered at most; beyond it the less used half goes.
-    REMEMBER = 1_000_000
+    REMEMBER = 600_000
 
     def __init__(self, path: str, lower: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already; threads cost memory each
         from tokenizers import Tokenizer
 
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
@@ -142,14 +148,17 @@ class Encoder:
         lack = self.main.find(hashes, np.arange(len(hashes)), begin, size)
         lack = self.fresh.find(hashes, lack, begin, size)
         if len(lack):
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([name(i) for i in lack.tolist()], add_special_tokens=False)]
-            size[lack] = n = np.array([len(x) for x in ids], np.int64)
-            begin[lack] = self.filled + np.cumsum(n) - n
-            end = self.filled + int(n.sum())
-            if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat) * 3 // 2) - len(self.flat), np.uint32)])
-            self.flat[self.filled : end] = np.fromiter((i for x in ids for i in x), np.uint32, end - self.filled)
-            self.filled = end
+            n = np.zeros(len(lack), np.int64)
+            for lo in range(0, len(lack), AT_ONCE):  # the library's results are large beside the ids in them
+                ids = [x.ids for x in self.tokenizer.encode_batch_fast([name(i) for i in lack[lo : lo + AT_ONCE].tolist()], add_special_tokens=False)]
+                n[lo : lo + AT_ONCE] = [len(x) for x in ids]
+                end = self.filled + sum(map(len, ids))
+                if end > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros(max(end, len(self.flat) * 3 // 2) - len(self.flat), np.uint32)])
+                self.flat[self.filled : end] = np.fromiter((i for x in ids for i in x), np.uint32, end - self.filled)
+                self.filled = end
+            size[lack] = n
+            begin[lack] = self.filled - np.cumsum(n[::-1])[::-1]
             self.fresh = self.fresh.merged(Memory(hashes[lack], begin[lack], n, np.ones(len(lack), np.uint32)))
         return begin, size
 
