@@ -134,7 +134,8 @@ def candidate_edges(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterato
         a, b = stars(np.concatenate([nodes[order[:-1][same]], ties[:, 0]]), np.concatenate([nodes[order[1:][same]], ties[:, 1]]))
         return pa.table({"a": a, "b": b})
 
-    return rows.mapInArrow(deal, Keys.schema).groupBy("bucket").applyInArrow(tie, "a long, b long")
+    # The distinct also parts this step from the next one's Python workers, which would run beside its own.
+    return rows.mapInArrow(deal, Keys.schema).groupBy("bucket").applyInArrow(tie, "a long, b long").distinct()
 
 
 def contracted(edges: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ class Trie:
     """A radix tree of ordered sets. A node holds a run of hashes, children by first hash,
     the sets that end in it, and the greatest and least size of the sets below."""
 
-    __slots__ = ("run", "has", "last", "kids", "ends", "most", "least", "tied")
+    __slots__ = ("run", "last", "kids", "ends", "most", "least", "tied")
 
     def __init__(self, run: np.ndarray, ends: list[int], most: int, least: int, tied: int | None):
         self.kids: dict[int, Trie] = {}
@@ -129,7 +129,7 @@ class Trie:
         self.cut(run)
 
     def cut(self, run: np.ndarray) -> None:
-        self.run, self.has, self.last = run, frozenset(run.tolist()), int(run[-1]) if len(run) else -1
+        self.run, self.last = run, int(run[-1]) if len(run) else -1
 
     def insert(self, values: np.ndarray, node: int, forest: linking.Forest) -> None:
         at, size, here, own = 0, len(values), self, forest.root(node)
@@ -169,7 +169,7 @@ def sketch(values: np.ndarray) -> np.ndarray:
 def links(root: Trie, values: np.ndarray, node: int, forest: linking.Forest, percent: int, begins: set[int]) -> Iterator[int]:
     """Sets of the trie linked with ``values`` that begin with one of ``begins``, but for those that the forest
     already ties to ``node``."""
-    own, n = frozenset(values.tolist()), len(values)
+    n = len(values)
     stack = [(root.kids[x], 0, 0, True) for x in begins]
     while stack:
         here, depth, overlap, down = stack.pop()
@@ -181,7 +181,7 @@ def links(root: Trie, values: np.ndarray, node: int, forest: linking.Forest, per
             continue
         if here.most * 100 < n * percent or here.least * percent > n * 100:
             continue
-        overlap += len(own & here.has)
+        overlap += int(np.count_nonzero(values[np.minimum(np.searchsorted(values, here.run), n - 1)] == here.run))
         depth += len(here.run)
         ahead = n - int(np.searchsorted(values, U64(here.last), "right"))
         if overlap + min(ahead, here.most - depth) < least_overlap(n, max(here.least, n * percent // 100), percent):
@@ -271,7 +271,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     sole = lead_of.where(F.size("leads") == 1).select(F.col("leads")[0].alias("a"), F.col("doc_id").alias("b")).where("a <> b")
 
     n_keys = int((described.agg(F.sum("n_shingles")).first()[0] or 0) * 3 * (100 - percent) / 100)
-    raw = store.staged(linking.contracted(linking.candidate_edges(own.where("doc_id is not null"), keys_of, n_keys)).distinct(), "candidates")
+    raw = store.staged(linking.candidate_edges(own.where("doc_id is not null"), keys_of, n_keys), "candidates")
     map_a, map_b = (sole.select(F.col("b").alias(x), F.col("a").alias(f"{x}_lead")) for x in "ab")
     tied = raw.join(map_a.hint("merge"), "a", "left").join(map_b.hint("merge"), "b", "left").select(F.coalesce("a_lead", "a").alias("a"), F.coalesce("b_lead", "b").alias("b"))
     clusters = store.staged(linking.components(tied.where("a <> b")), "clusters")
