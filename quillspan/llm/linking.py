@@ -47,7 +47,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[up[other]], names[other]
 
 
-def _bytes_of(column: pa.ChunkedArray, dtype) -> np.ndarray:
+def raw(column: pa.ChunkedArray, dtype) -> np.ndarray:
     """All bytes of a binary column, end to end."""
     whole = column.cast(pa.large_binary()).combine_chunks()
     if isinstance(whole, pa.ChunkedArray):
@@ -124,10 +124,16 @@ def candidate_edges(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterato
                     yield held.dealt()
         yield held.dealt()
 
+    return tied(rows.mapInArrow(deal, Keys.schema))
+
+
+def tied(dealt: DataFrame) -> DataFrame:
+    """Edges (a, b) that tie all nodes of each key, from the rows of ``Keys``."""
+
     def tie(group: pa.Table) -> pa.Table:
-        nodes, ties = _bytes_of(group["nodes"], np.int64), _bytes_of(group["ties"], np.int64).reshape(-1, 2)
+        nodes, ties = raw(group["nodes"], np.int64), raw(group["ties"], np.int64).reshape(-1, 2)
         keys = np.zeros((len(nodes), 8), np.uint8)
-        keys[:, :KEY_BYTES] = _bytes_of(group["keys"], np.uint8).reshape(-1, KEY_BYTES)
+        keys[:, :KEY_BYTES] = raw(group["keys"], np.uint8).reshape(-1, KEY_BYTES)
         keys = keys.view("<u8").ravel()
         order = np.argsort(keys, kind="stable")
         same = keys[order[1:]] == keys[order[:-1]]
@@ -135,7 +141,7 @@ def candidate_edges(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterato
         return pa.table({"a": a, "b": b})
 
     # The distinct also parts this step from the next one's Python workers, which would run beside its own.
-    return rows.mapInArrow(deal, Keys.schema).groupBy("bucket").applyInArrow(tie, "a long, b long").distinct()
+    return dealt.groupBy("bucket").applyInArrow(tie, "a long, b long").distinct()
 
 
 def contracted(edges: DataFrame) -> DataFrame:

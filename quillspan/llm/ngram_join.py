@@ -1,11 +1,17 @@
-"""N-gram Jaccard join: sets in a prefix tree, traversed with shared partial overlaps.
-
-Documents are sets of distinct word n-grams, ordered by their 64-bit hash. Equal
-sets are one class from the start. For the others, the universe of n-grams is
-split into m parts by a second hash, m more than the greatest symmetric
-difference that the threshold allows at a document's size; linked documents then
-agree on all of some parts, so the hashed parts are the candidate keys. In each
-candidate cluster the sets go into a trie; a probe walks down it carrying the
+"""N-gram Jaccard join: globally ordered sets in a prefix tree, traversed with shared partial overlaps.
+
+Documents are sets of distinct word n-grams; equal sets are one node from the
+start. Candidates come in three steps, each of which keeps every link:
+
+1. A linked set shares at least percent of its members with one other set. A pass
+   over all members counts, for each set, those that occur in another set too;
+   only sets with enough of them go on.
+2. The members of those sets are ordered by rarity, then hash. In one global order
+   linked sets share one of the first n - (least overlap) + 1 members of each; the
+   members no other set has, which come first, need not be looked up.
+3. Sets that share such a member are tied into candidate clusters.
+
+In each cluster the sets go into a trie; a probe walks down it carrying the
 overlap so far, so documents with a common beginning share its count, and leaves
 a subtree when the overlap plus what can still follow on either side misses the
 least overlap needed there, or when all below it is linked to the probe already.
@@ -14,20 +20,23 @@ least overlap needed there, or when all below it is linked to the probe already.
 from __future__ import annotations
 
 import hashlib
-import math
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import kernel, linking, store
 
 U64 = np.uint64
-#: Tasks over which the copies of one set are dealt.
+#: Members of the sets that travel and are looked up together, about.
+TOGETHER = 500_000
+#: Tasks over which the documents of one set are dealt.
 SALTS = 16
+#: Stands for several sets of one task in the lists of who has a member.
+MANY = np.int64(-1)
 
 
 def document_sets(column: pa.Array, k: int, lower: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -42,78 +51,142 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def classes(percent: int, top: int) -> np.ndarray:
-    """Lower ends of size classes so that linked sizes lie in the same or in neighbouring classes."""
-    low = [1]
-    while low[-1] <= top:
-        low.append(low[-1] * 100 // percent + 1)
-    return np.array(low, np.int64)
+def shared_by_all(n: int, percent: int) -> int:
+    """How many members a set of n shares with any linked set, at least."""
+    return -(-percent * n // 100)
+
+
+def _split(values: np.ndarray, *more: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """For each bucket of ``values``: its number, the values' other digits (4 bytes), and the parts of ``more``.
+
+    A bucket holds about as many values at any size of the corpus, so four bytes tell them apart; a mistake
+    makes a member look more common, never less.
+    """
+    bucket = (values % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rest = ((values // U64(buckets)) & U64(0xFFFFFFFF)).astype("<u4")[order]
+    more = [x[order] for x in more]
+    cut = np.concatenate([np.flatnonzero(np.diff(bucket[order], prepend=-1)), [len(order)]])
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(bucket[order[i]]), rest[i:j].tobytes(), *(x[i:j].tobytes() for x in more)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending values: where each run of equal ones begins, and its length."""
+    begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(values)))
 
 
-@cache
-def scheme(largest: int, percent: int) -> tuple[int, int, int]:
-    """For sets of at most ``largest`` members: the greatest difference that a link allows, the number of parts,
-    and the size up to which a part is too weak to be a key.
+def repeated_members(texts: DataFrame, sets_of: Callable, buckets: int) -> DataFrame:
+    """node and ``again``: how many members of each set another set has too, or more.
 
-    Parts beyond the difference plus one are spare: linked sets agree on one part
-    more for each. Their number is what weak parts may come to, by the Poisson law
-    of part sizes, so that hardly any set has nothing but weak parts to show.
+    ``sets_of`` gives lists of nodes and of their sets for a batch of rows. A member that several sets of a task
+    have is counted there and travels once, so a member that very many sets have is no burden. Copies of a set in
+    several tasks may count a member twice.
     """
-    differ = 2 * largest * (100 - percent) // (100 + percent)
-    load = largest / (differ + 1)
-    weak, term, below = 0, math.exp(-load), math.exp(-load)
-    while below + term * load / (weak + 1) <= 0.015 and weak < 2:
-        weak += 1
-        term *= load / weak
-        below += term
-    expect = 1.3 * (differ + 1) * below
-    return differ, differ + 1 + (math.ceil(round(expect + 4 * math.sqrt(expect) + 1, 6)) if differ else 0), weak if differ else 0
-
-
-def part_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set's strong parts in its own and in the next size class, and their nodes.
-
-    A linked pair agrees on as many parts as the scheme has, less their greatest
-    difference at this set's size. If all of those were weak, both sets would have
-    so many weak parts. Such sets, which are rare, add the members of their prefix:
-    in one global order, here that of the hashes, linked sets share one of the
-    first n - (least overlap) + 1 members of each.
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[np.ndarray] = []
+        sets: list[np.ndarray] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            flat = np.concatenate([np.zeros(0, U64), *sets])
+            of = np.concatenate([np.zeros(0, np.int64), *nodes])
+            order = np.lexsort((of, flat))
+            flat, of = flat[order], of[order]
+            new = np.concatenate([[True], (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])])[: len(flat)]
+            flat, of = flat[new], of[new]
+            begin, size = _runs(flat)
+            several = np.repeat(size > 1, size)
+            names, count = np.unique(of[several], return_counts=True)
+            one = np.where(size > 1, MANY, of[begin]) if len(begin) else of
+            by = np.argsort(one, kind="stable")  # a set's members side by side compress well
+            rows = list(_split(flat[begin][by], one[by], buckets=buckets))
+            rows = [(k, r, w, None, None) for k, r, w in rows] + ([(int(names[0] % buckets), None, None, names.tobytes(), count.tobytes())] if len(names) else [])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES, strict=True)] if rows else [pa.array([], t) for t in TYPES], ["bucket", "members", "sets", "names", "counts"])
+
+        for batch in batches:
+            for own, found in sets_of(batch):
+                nodes += [np.full(len(s), k, np.int64) for k, s in zip(own, found, strict=True)]
+                sets += found
+                held += sum(map(len, found))
+                if held > TOGETHER:
+                    yield out()
+                    nodes, sets, held = [], [], 0
+        yield out()
+
+    TYPES = (pa.int32(), *[pa.binary()] * 4)
+
+    def count(group: pa.Table) -> pa.Table:
+        member, of = linking.raw(group["members"], "<u4"), linking.raw(group["sets"], np.int64)
+        order = np.lexsort((of, member))
+        member, of = member[order], of[order]
+        new = np.concatenate([[True], (member[1:] != member[:-1]) | (of[1:] != of[:-1])])[: len(member)]
+        member, of = member[new], of[new]
+        begin, size = _runs(member)
+        several = np.repeat((size > 1) | (of[begin] == MANY), size) & (of != MANY)
+        names, counts = np.unique(of[several], return_counts=True)
+        return pa.table({"node": np.concatenate([names, linking.raw(group["names"], np.int64)]), "again": np.concatenate([counts, linking.raw(group["counts"], np.int64)])})
+
+    dealt = texts.mapInArrow(deal, "bucket int, members binary, sets binary, names binary, counts binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "node long, again long").groupBy("node").agg(F.sum("again").alias("again"))
+
+
+def prefix_ties(packs: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Edges (a, b) that tie sets whose prefixes share a member. packs: (pack, nodes, sizes, members), all but the first packed.
+
+    Each pack asks once for each of its members, with how often it has it, and is told of those that occur twice or
+    more in all; so a member that very many sets have costs one entry a pack.
     """
-    n = np.array([len(s) for s in sets], np.int64)
-    keep = n > 0
-    if not keep.any():
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    sets, nodes, n = [s for s in sets if len(s)], nodes[keep], n[keep]
-    ends = classes(percent, int(n.max()) + 1)
-    ends = np.append(ends, ends[-1] * 100 // percent + 1)
-    own = np.searchsorted(ends, n, "right") - 1
-    flat = np.concatenate(sets)
-    doc = np.repeat(np.arange(len(n)), n)
-    split, share = kernel.mix(flat ^ U64(0xA0761D6478BD642F)), kernel.mix(flat + U64(0xE7037ED1A0B428DB))
-    keys, of = [], []
-    for c in (own, own + 1):
-        largest = ends[c + 1] - 1
-        plan = np.array([scheme(int(x), percent) for x in largest], np.int64)
-        parts, weak = plan[:, 1], plan[:, 2]
-        at = np.concatenate([[0], np.cumsum(parts)])
-        spot = at[:-1][doc] + (split % parts[doc].astype(U64)).astype(np.int64)
-        sums = np.zeros(at[-1], U64)
-        np.add.at(sums, spot, share)
-        size = np.bincount(spot, minlength=at[-1])
-        owner = np.repeat(np.arange(len(n)), parts)
-        which = np.arange(at[-1]) - at[:-1][owner]
-        feeble = size <= weak[owner]
-        agreed = parts - (n + np.minimum(n * 100 // percent, largest)) * (100 - percent) // (100 + percent)
-        lost = np.flatnonzero(np.bincount(owner, feeble, len(n)) >= agreed)
-        strong = np.flatnonzero(~feeble)
-        name = (c[owner[strong]] * (1 << 40) + which[strong] + 1).astype(U64)
-        keys.append(kernel.mix(sums[strong] ^ kernel.mix(name)))
-        of.append(nodes[owner[strong]])
-        for d in lost.tolist():
-            begins = sets[d][: n[d] + (-percent * n[d] // 100) + 1]
-            keys.append(kernel.mix(begins ^ kernel.mix(np.array([c[d] * (1 << 40)], np.int64).astype(U64))))
-            of.append(np.full(len(begins), nodes[d]))
-    return np.concatenate(keys), np.concatenate(of)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                member, n = np.unique(np.frombuffer(data, U64), return_counts=True)
+                rows = [(k, pack, r, c) for k, r, c in _split(member, n.astype("<u4"), buckets=buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "pack", "members", "counts"])
+
+    def answer(key: tuple, group: pa.Table) -> pa.Table:
+        member, n = linking.raw(group["members"], "<u4"), linking.raw(group["counts"], "<u4")
+        length = pc.binary_length(group["members"]).to_numpy() // 4
+        row = np.repeat(np.arange(len(length)), length)
+        order = np.argsort(member, kind="stable")
+        begin, size = _runs(member[order])
+        total = np.repeat(np.add.reduceat(n[order].astype(np.int64), begin), size) if len(begin) else n[order]
+        often = np.empty(len(member), np.int64)
+        often[order] = total
+        keep = often > 1
+        cut = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(length)))]).tolist()
+        rest, often = member[keep], np.minimum(often[keep], 0xFFFFFFFF).astype("<u4")
+        parts = list(zip(cut[:-1], cut[1:], strict=True))
+        return pa.table({"pack": group["pack"], "bucket": pa.array([key[0].as_py()] * len(parts), pa.int32()), "members": pa.array([rest[i:j].tobytes() for i, j in parts], pa.binary()), "often": pa.array([often[i:j].tobytes() for i, j in parts], pa.binary())})
+
+    def choose(key: tuple, own: pa.Table, told: pa.Table) -> pa.Table:
+        """Deals out the prefixes of a pack's sets."""
+        held = linking.Keys(buckets)
+        bucket = np.repeat(told["bucket"].to_numpy(), pc.binary_length(told["members"]).to_numpy() // 4).astype(U64)
+        name = (bucket << U64(32)) | linking.raw(told["members"], "<u4").astype(U64)
+        often = linking.raw(told["often"], "<u4")
+        order = np.argsort(name)
+        name, often = name[order], often[order]
+        for nodes, sizes, members in zip(own["nodes"].to_pylist(), own["sizes"].to_pylist(), own["members"].to_pylist(), strict=True):
+            flat, sizes, nodes = np.frombuffer(members, U64), np.frombuffer(sizes, np.int64), np.frombuffer(nodes, np.int64)
+            asked = ((flat % U64(buckets)) << U64(32)) | ((flat // U64(buckets)) & U64(0xFFFFFFFF))
+            at = np.minimum(np.searchsorted(name, asked), max(0, len(name) - 1))
+            count = np.where(name[at] == asked, often[at], 1) if len(name) else np.ones(len(flat), np.int64)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, count, of))
+            rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            reach = sizes + (-percent * sizes // 100) + 1
+            chosen = order[(rank < reach[of]) & (count[order] > 1)]
+            held.add(flat[chosen], nodes[of[chosen]])
+        return pa.Table.from_batches([held.dealt()])
+
+    asked = packs.mapInArrow(ask, "bucket int, pack long, members binary, counts binary")
+    told = asked.groupBy("bucket").applyInArrow(answer, "pack long, bucket int, members binary, often binary")
+    dealt = packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(choose, linking.Keys.schema)
+    return linking.tied(dealt)
 
 
 class Trie:
@@ -236,47 +309,70 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     their own component. Rows of one key count as one document whose texts link.
     A null key is linked with nothing and has a null component. Other columns are
     not read. n-grams are compared by 64-bit hashes of 64-bit word hashes, equal
-    sets by 128 bits.
+    sets by 63 bits.
     """
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    keyed = own.where("doc_id is not null")
+
+    def signed(column: pa.Array) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
+        for lo, sets in document_sets(column, n, lower):
+            yield lo, [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1 for s in sets], sets
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, sets in document_sets(batch.column(1), n, lower):
+            for lo, node, sets in signed(batch.column(1)):
                 size = np.array([len(s) for s in sets], np.int64)
-                sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), pa.array(size), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "sig"])
-
-    def keys_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        nodes = batch.column(0).to_numpy()
-        for lo, sets in document_sets(batch.column(1), n, lower):
-            yield part_keys(sets, nodes[lo : lo + len(sets)], percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), pa.array(size), pa.array(node, pa.int64(), mask=size == 0)], ["doc_id", "n_shingles", "node"])
+
+    def sets_of(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        for _, node, sets in signed(batch.column(1)):
+            some = [(k, s) for k, s in zip(node, sets, strict=True) if len(s)]
+            yield [k for k, _ in some], [s for _, s in some]
+
+    def pack(group: pa.Table) -> pa.Table:
+        """The wanted sets of a pack's texts; a key may have several texts."""
+        wanted, nodes, sets = set(group["node"].to_pylist()), [], []
+        for _, node, found in signed(group["text"].combine_chunks()):
+            for k, s in zip(node, found, strict=True):
+                if k in wanted:
+                    wanted.remove(k)
+                    nodes.append(k)
+                    sets.append(s)
+        blob = lambda x: pa.array([x], pa.binary())
+        return pa.table({"pack": group["pack"][:1], "nodes": blob(np.array(nodes, np.int64).tobytes()), "sizes": blob(np.array([len(s) for s in sets], np.int64).tobytes()), "members": blob(b"".join(s.tobytes() for s in sets))})
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, sets in document_sets(batch.column(1), n, lower):
-                rows = [batch.column(i).slice(lo, len(sets)) for i in (2, 0)]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "node", "content"])
-
-    described = store.staged(own.mapInArrow(describe, "doc_id long, n_shingles long, sig binary"), "sets")
-    known = described.where("doc_id is not null and sig is not null")
-    # Only repeated sets need a lead; a set with very many copies is spread over tasks by a salt.
-    leads = known.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    leads = leads.select("sig", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    led = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(leads, ["sig", "salt"], "left")
-    lead_of = led.groupBy("doc_id").agg(F.collect_set(F.coalesce("lead", "doc_id")).alias("leads"))
-    lead_of = store.staged(lead_of.where((F.size("leads") > 1) | (F.col("leads")[0] != F.col("doc_id"))), "copies")
-    copies = lead_of.select(F.explode("leads").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    # A lead stands in for a key only if it has all its texts; a key with texts of several leads is its own node.
-    sole = lead_of.where(F.size("leads") == 1).select(F.col("leads")[0].alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-
-    n_keys = int((described.agg(F.sum("n_shingles")).first()[0] or 0) * 3 * (100 - percent) / 100)
-    raw = store.staged(linking.candidate_edges(own.where("doc_id is not null"), keys_of, n_keys), "candidates")
-    map_a, map_b = (sole.select(F.col("b").alias(x), F.col("a").alias(f"{x}_lead")) for x in "ab")
-    tied = raw.join(map_a.hint("merge"), "a", "left").join(map_b.hint("merge"), "b", "left").select(F.coalesce("a_lead", "a").alias("a"), F.coalesce("b_lead", "b").alias("b"))
-    clusters = store.staged(linking.components(tied.where("a <> b")), "clusters")
-    items = linking.matching(own, "doc_id", clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
-    items = items.select("doc_id", "text", "cluster").mapInArrow(contents, "cluster long, node long, content binary")
-    found = store.staged(linking.in_clusters(items.where(F.length("content") > 0), trie_join(percent)), "links")
-    groups = linking.components(found.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
-    return described.join(groups.hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+            for nodes, sizes, members in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                at = 8 * np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes, np.int64)), pa.array([members[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["node", "content"])
+
+    described = store.staged(own.mapInArrow(describe, "doc_id long, n_shingles long, node long"), "sets")
+    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    again = repeated_members(keyed, sets_of, max(least, -(-total // TOGETHER)))
+    known = described.where("doc_id is not null and node is not null")
+    sets = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+    wanted = sets.join(again.hint("merge"), "node").where(F.col("again") * 100 >= F.col("n") * percent)
+    wanted = store.staged(wanted.select("node", "doc_id", "n"), "wanted")
+    size = wanted.agg(F.sum("n")).first()[0] or 0
+    packs = max(least, -(-size // TOGETHER))
+    wanted = wanted.select("doc_id", "node", F.pmod(F.xxhash64("node"), F.lit(packs)).alias("pack"))
+    packed = linking.matching(keyed, "doc_id", wanted).groupBy("pack").applyInArrow(pack, "pack long, nodes binary, sizes binary, members binary")
+    packed = store.staged(packed, "packs")
+    ties = store.staged(prefix_ties(packed, percent, max(least, -(-size // TOGETHER))), "candidates")
+    clusters = linking.components(ties).select("node", F.col("component").alias("cluster"))
+    items = packed.mapInArrow(contents, "node long, content binary").join(clusters.hint("merge"), "node").select("cluster", "node", "content")
+    found = store.staged(linking.in_clusters(items, trie_join(percent)), "links")
+    # A key with several texts links them.
+    several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    several = known.join(several.hint("merge"), "doc_id").select("a", F.col("node").alias("b"))
+    groups = linking.components(found.unionByName(several)).withColumnRenamed("component", "group")
+    linked = sets.select("node", "doc_id").join(groups.hint("merge"), "node")
+    lead = linked.groupBy("group").agg(F.min("doc_id").alias("lead"))
+    linked = linked.select("node", "group").join(lead.hint("merge"), "group").select("node", "lead")
+    # Only sets that are not one document's alone, or that have another lead; a set of very many copies is dealt out by a salt.
+    lead = sets.join(linked.hint("merge"), "node", "left").where("copies > 1 or lead <> doc_id").select("node", F.coalesce("lead", "doc_id").alias("lead"))
+    lead = lead.select("node", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = described.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return rows.join(lead.hint("merge"), ["node", "salt"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("lead", "doc_id")).alias("component_id"))

@@ -2,7 +2,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from quillspan.llm import linking, ngram_join
@@ -59,22 +58,24 @@ def test_no_rows(spark):
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90])
-def test_linked_sets_share_a_key(percent):
-    """Sets at the very threshold, of every size: keys never miss one."""
-    rng = np.random.default_rng(percent)
-    for n in [*range(1, 60), 150, 400, 1500]:
-        for _ in range(6):
-            pool = np.unique(rng.integers(0, 1 << 62, 3 * n + 9).astype(np.uint64))
-            rng.shuffle(pool)
-            a = pool[:n]
-            extra = int(rng.integers(0, n * (100 - percent) // percent + 1))
-            common = next(c for c in range(n + 1) if 100 * c >= percent * (2 * n + extra - c) or c == n)
-            b = np.concatenate([a[:common], pool[n : n + max(0, n + extra - common)]])
-            if 100 * common < percent * (len(a) + len(b) - common):
-                continue
-            keys, of = ngram_join.part_keys([np.sort(a), np.sort(b)], np.array([0, 1]), percent)
-            if not np.array_equal(np.sort(a), np.sort(b)):
-                assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()), (n, common, len(b))
+def test_linked_sets_are_tied(spark, percent, monkeypatch):
+    """Sets at the very threshold, of every size, in many small packs: no step loses a link."""
+    monkeypatch.setattr(ngram_join, "TOGETHER", 3000)
+    rng, rows = random.Random(percent), []
+    for n in [*range(1, 40), 150, 400]:
+        for _ in range(2):
+            a = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            b = list(a)
+            while True:  # words added as long as the two still link
+                b.append(f"w{rng.randrange(10**9)}")
+                if 100 * n < percent * len(b):
+                    break
+                rows.append((len(rows), " ".join(b)))
+            rows.append((len(rows), " ".join(a)))
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{t} {passage}" if i % 3 else t) for i, t in rows]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), n=1, percent=percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, 1, percent)
 
 
 def test_blocks_of_a_large_cluster(spark, monkeypatch):
