@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; documents are never split.
-CHUNK = 1 << 20
+#: Bytes of text handled at once; documents are never split. Tables of powers just fit it.
+CHUNK = (1 << 20) - 2
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 

@@ -177,10 +177,10 @@ class Encoder:
 
     def batch(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """By chunk: the first document, the ids of its documents, and where each document's begin."""
-        for w in kernel.words(column, limit=2 << 20):
+        for w in kernel.words(column):
             if self.lower and b"<|" not in w.data.tobytes():
                 w.data = kernel.LOWER[w.data]
-            solid = np.maximum.accumulate(np.where(TAIL[w.data], -1, np.arange(len(w.data)))) if len(w.data) else w.start
+            solid = np.maximum.accumulate(np.where(TAIL[w.data], np.int32(-1), np.arange(len(w.data), dtype=np.int32))) if len(w.data) else w.start
             core = solid[w.end - 1] + 1
             letter = (core > w.start) & (core < w.end) & _letters(w.data, core)
             core = np.where(letter, core, w.end)
