@@ -6,6 +6,7 @@ per word is a few array operations and no Python object is made for it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -25,6 +26,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on after a task, beside those of the next."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U64(30))
@@ -129,7 +140,7 @@ def words(column: pa.Array, lower: bool = False, limit: int = CHUNK, space: np.n
         start = np.flatnonzero(word & ~before[:-1])
         end = np.flatnonzero(word & ~after[1:]) + 1
         yield Words(lo, hi, own, start, end, np.searchsorted(start, bounds), bounds)
-    pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back
+    release()
 
 
 def shingle_hashes(w: Words, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:

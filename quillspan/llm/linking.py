@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm import store
+from quillspan.llm import kernel, store
 
 #: Bytes of content of one block of a cluster, about.
 BLOCK_BYTES = 8 << 20
@@ -138,6 +138,8 @@ def tied(dealt: DataFrame) -> DataFrame:
         order = np.argsort(keys, kind="stable")
         same = keys[order[1:]] == keys[order[:-1]]
         a, b = stars(np.concatenate([nodes[order[:-1][same]], ties[:, 0]]), np.concatenate([nodes[order[1:][same]], ties[:, 1]]))
+        del nodes, ties, keys, order, same
+        kernel.release()
         return pa.table({"a": a, "b": b})
 
     # The distinct also parts this step from the next one's Python workers, which would run beside its own.
@@ -210,6 +212,9 @@ def in_clusters(items: DataFrame, join: Callable[[list, list], Iterator[tuple[in
         rows = sorted(zip(group["own"].to_pylist(), group["node"].to_pylist(), group["content"].to_pylist(), strict=True))
         first = [(n, c) for o, n, c in rows if o == i]
         links = list(join(first, [(n, c) for o, n, c in rows if o != i])) if i == j or len(first) < len(rows) else []
+        if len(rows) > 1000:
+            del rows, first
+            kernel.release()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")

@@ -127,6 +127,8 @@ def repeated_members(texts: DataFrame, sets_of: Callable, buckets: int) -> DataF
         begin, size = _runs(member)
         several = np.repeat((size > 1) | (of[begin] == MANY), size) & (of != MANY)
         names, counts = np.unique(of[several], return_counts=True)
+        del member, of, new, begin, size, several, order
+        kernel.release()
         return pa.table({"node": np.concatenate([names, linking.raw(group["names"], np.int64)]), "again": np.concatenate([counts, linking.raw(group["counts"], np.int64)])})
 
     dealt = texts.mapInArrow(deal, "bucket int, members binary, sets binary, names binary, counts binary")
@@ -160,6 +162,8 @@ def prefix_ties(packs: DataFrame, percent: int, buckets: int) -> DataFrame:
         cut = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(length)))]).tolist()
         rest, often = member[keep], np.minimum(often[keep], 0xFFFFFFFF).astype("<u4")
         parts = list(zip(cut[:-1], cut[1:], strict=True))
+        del member, n, row, order, total, keep
+        kernel.release()
         return pa.table({"pack": group["pack"], "bucket": pa.array([key[0].as_py()] * len(parts), pa.int32()), "members": pa.array([rest[i:j].tobytes() for i, j in parts], pa.binary()), "often": pa.array([often[i:j].tobytes() for i, j in parts], pa.binary())})
 
     def choose(key: tuple, own: pa.Table, told: pa.Table) -> pa.Table:
@@ -181,7 +185,9 @@ def prefix_ties(packs: DataFrame, percent: int, buckets: int) -> DataFrame:
             reach = sizes + (-percent * sizes // 100) + 1
             chosen = order[(rank < reach[of]) & (count[order] > 1)]
             held.add(flat[chosen], nodes[of[chosen]])
-        return pa.Table.from_batches([held.dealt()])
+        out = pa.Table.from_batches([held.dealt()])
+        kernel.release()
+        return out
 
     asked = packs.mapInArrow(ask, "bucket int, pack long, members binary, counts binary")
     told = asked.groupBy("bucket").applyInArrow(answer, "pack long, bucket int, members binary, often binary")
