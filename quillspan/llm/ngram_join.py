@@ -77,12 +77,12 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(values)))
 
 
-def repeated_members(texts: DataFrame, sets_of: Callable, buckets: int) -> DataFrame:
+def repeated_members(texts: DataFrame, sets_of: Callable, buckets: int, parts: int) -> DataFrame:
     """node and ``again``: how many members of each set another set has too, or more.
 
     ``sets_of`` gives lists of nodes and of their sets for a batch of rows. A member that several sets of a task
     have is counted there and travels once, so a member that very many sets have is no burden. Copies of a set in
-    several tasks may count a member twice.
+    several tasks may count a member twice. Members are dealt to ``buckets``, counts to ``parts`` of the sets.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +119,7 @@ def repeated_members(texts: DataFrame, sets_of: Callable, buckets: int) -> DataF
     TYPES = (pa.int32(), *[pa.binary()] * 4)
 
     def count(group: pa.Table) -> pa.Table:
+        """What a bucket knows of its sets, packed by parts of the sets."""
         member, of = linking.raw(group["members"], "<u4"), linking.raw(group["sets"], np.int64)
         order = np.lexsort((of, member))
         member, of = member[order], of[order]
@@ -127,12 +128,24 @@ def repeated_members(texts: DataFrame, sets_of: Callable, buckets: int) -> DataF
         begin, size = _runs(member)
         several = np.repeat((size > 1) | (of[begin] == MANY), size) & (of != MANY)
         names, counts = np.unique(of[several], return_counts=True)
-        del member, of, new, begin, size, several, order
+        names, counts = np.concatenate([names, linking.raw(group["names"], np.int64)]), np.concatenate([counts, linking.raw(group["counts"], np.int64)])
+        part = names % parts
+        order = np.argsort(part, kind="stable")
+        names, counts, part = names[order], counts[order].astype("<u4"), part[order]
+        begin, size = _runs(part)
+        spans = list(zip(begin.tolist(), (begin + size).tolist(), strict=True))
+        out = pa.table({"part": pa.array(part[begin].astype(np.int32)), "names": pa.array([names[i:j].tobytes() for i, j in spans], pa.binary()), "counts": pa.array([counts[i:j].tobytes() for i, j in spans], pa.binary())})
+        del member, of, new, several, order, names, counts, part
         kernel.release()
-        return pa.table({"node": np.concatenate([names, linking.raw(group["names"], np.int64)]), "again": np.concatenate([counts, linking.raw(group["counts"], np.int64)])})
+        return out
+
+    def add_up(group: pa.Table) -> pa.Table:
+        names, at = np.unique(linking.raw(group["names"], np.int64), return_inverse=True)
+        return pa.table({"node": names, "again": np.bincount(at, linking.raw(group["counts"], "<u4"), len(names)).astype(np.int64)})
 
     dealt = texts.mapInArrow(deal, "bucket int, members binary, sets binary, names binary, counts binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "node long, again long").groupBy("node").agg(F.sum("again").alias("again"))
+    counted = dealt.groupBy("bucket").applyInArrow(count, "part int, names binary, counts binary")
+    return counted.groupBy("part").applyInArrow(add_up, "node long, again long")
 
 
 def prefix_ties(packs: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -356,7 +369,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     described = store.staged(own.mapInArrow(describe, "doc_id long, n_shingles long, node long"), "sets")
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    again = repeated_members(keyed, sets_of, max(least, -(-total // TOGETHER)))
+    again = repeated_members(keyed, sets_of, max(least, -(-total // TOGETHER)), least)
     known = described.where("doc_id is not null and node is not null")
     sets = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     wanted = sets.join(again.hint("merge"), "node").where(F.col("again") * 100 >= F.col("n") * percent)
