@@ -27,6 +27,8 @@ BLOCK_BYTES = 8 << 20
 HELD = 500_000
 #: Keys of one bucket, about.
 BUCKET = 500_000
+#: Edges that a task contracts, about, once their number is known.
+SOME = 50_000
 #: Bytes kept of a key; the bucket holds the rest. Keys that agree by chance only add candidates.
 KEY_BYTES = 6
 
@@ -176,19 +178,20 @@ def components(edges: DataFrame) -> DataFrame:
     that a node with many neighbours meets no limit.
     """
     edges = store.staged(contracted(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "edges")
-    before = None
+    before, n = None, edges.count()
     while True:
+        tasks = max(4, n // SOME + 1)  # few edges need few tasks, which then contract more of them
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low.hint("merge"), "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y")
-        last, edges = edges, store.staged(contracted(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()), "edges")
+        last, edges = edges, store.staged(contracted(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().coalesce(tasks)), "edges")
         store.drop(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     members = edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
     return members.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
