@@ -191,7 +191,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     groups = store.staged(linking.components(links).withColumnRenamed("node", "h"), "groups")
     tied = distinct.join(groups.hint("merge"), "h", "left").select("h", "n", "first", "component")
     leads = tied.where("component is not null").groupBy("component").agg(F.min("first").alias("lead"))
-    lead = tied.where("component is not null or n > 1").join(leads.hint("merge"), "component", "left").select("h", F.coalesce("lead", "first").alias("lead"))
+    lead = tied.join(leads.hint("merge"), "component").select("h", "lead")
+    lead = lead.unionByName(tied.where("component is null and n > 1").select("h", F.col("first").alias("lead")))
     gone = rows.join(lead.hint("merge"), "h").where(F.struct("doc_id", "line") != F.col("lead"))
     gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
