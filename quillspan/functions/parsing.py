@@ -16,8 +16,10 @@ def _first(n: Column, k: int) -> Column:
 def critique_ids(response: Column, n: Column, k: int) -> Column:
     """The ids of the last bracketed list of whole numbers, quoted or not, in their order, repeats kept;
     ids outside 0..n-1 go, and k stay. Without a list that reads as JSON: the first k."""
-    listed = F.regexp_extract_all(without_thinking(response), F.lit(r"""\[\s*["']?\d+["']?(?:\s*,\s*["']?\d+["']?)*\s*\]"""), F.lit(0))
-    ids = F.from_json(F.regexp_replace(F.try_element_at(listed, F.lit(-1)), "[\"']", ""), "array<int>")
+    bracketed = F.regexp_extract_all(without_thinking(response), F.lit(r"\[[^\[\]]*\]"), F.lit(0))
+    lists = F.transform(bracketed, lambda x: F.from_json(F.translate(x, "\"'", ""), "array<int>"))
+    whole = F.filter(lists, lambda x: (F.size(x) > 0) & F.forall(x, lambda i: i.isNotNull()))
+    ids = F.try_element_at(whole, F.lit(-1))
     chosen = F.slice(F.filter(ids, lambda i: (i >= 0) & (i < n)), 1, k)
     return F.coalesce(chosen, _first(n, k))
 

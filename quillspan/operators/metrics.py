@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.similarity import overlap_gold, overlap_smaller
-from quillspan.functions.text import normalize_match, token_bag, token_set
+from quillspan.functions.text import normalize_match, strip, token_bag, token_set
 
 STAGES = ("dense", "sparse", "hybrid", "final")
 
@@ -99,7 +99,7 @@ JUDGED = ("accuracy", "context_relevance", "groundedness")
 
 def judge_means(rows: DataFrame) -> DataFrame:
     """Means of judge scores over valid rows (answer given, at least one context), NaN and null skipped; 0 without any."""
-    valid = rows.where((F.trim(F.coalesce("answer", F.lit(""))) != "") & (F.col("answer") != "No answer") & (F.size("contexts") > 0))
+    valid = rows.where((strip("answer") != "") & (F.col("answer") != "No answer") & (F.size("contexts") > 0))
     return valid.agg(F.count(F.lit(1)).alias("samples"), *[F.round(F.coalesce(F.avg(F.nanvl(F.col(m), F.lit(None).cast("double"))), F.lit(0.0)), 6).alias(m) for m in JUDGED])
 
 

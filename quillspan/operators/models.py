@@ -119,7 +119,7 @@ def completion(factory: Callable[[], Completer] = EchoCompleter, fallback: str |
             out = []
             for p in prompts:
                 try:
-                    out.append(retried(model.complete, [p], tries, sleep=lambda _: None if tries < 2 else time.sleep(0))[0])
+                    out.append(retried(model.complete, [p], tries)[0])
                 except Exception as e:
                     out.append(fallback if fallback is not None else f"ERROR: {e}")
             yield pd.Series(out)

@@ -41,9 +41,11 @@ def criticised(fused: DataFrame, queries: DataFrame, complete: Callable[[Column]
     """The critic's choice of each query's fused list, in its order; lists of k or fewer need no critic."""
     lists = fused.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "chunk_id"))).alias("c")).join(queries, "query_id")
     prompt = F.concat(F.lit(CRITIC.replace("{k}", str(k))), F.lit("Question: "), F.col("query"), F.lit("\n\n"), numbered_candidates(F.col("c")))
+    # Two frames: under a condition within one, the model would be called for every row.
     n = F.size("c")
-    chosen = critique_ids(F.when(n > k, complete(prompt)), n, k)
-    picked = lists.select("query_id", "c", F.posexplode(chosen).alias("rank", "i"))
+    asked = lists.where(n > k).select("query_id", "c", critique_ids(complete(prompt), n, k).alias("ids"))
+    spared = lists.where(n <= k).select("query_id", "c", F.sequence(F.lit(0), n - 1).alias("ids"))
+    picked = asked.unionByName(spared).select("query_id", "c", F.posexplode("ids").alias("rank", "i"))
     return picked.select("query_id", "rank", F.get("c", F.col("i"))["chunk_id"].alias("chunk_id"), F.get("c", F.col("i"))["text"].alias("text"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspan.functions.text import BAR, strip
 
@@ -30,26 +31,29 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     question or any context. A missing id is q and the row's place in the input,
     from 1, with four digits. (id, question, ground_truth, context, source, chunk_id)
     """
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("j"))
+    raw = spark.read.text(path, wholetext=True).select(strip("value").alias("j"))
     listed = F.when(F.col("j").startswith("["), F.col("j")).otherwise(F.coalesce(*[F.get_json_object("j", f"$.{k}") for k in ("data", "questions", "items")]))
     rows = raw.select(F.posexplode(F.from_json(listed, f"array<{QUESTION}>")).alias("pos", "q")).select("pos", "q.*")
     as_list = F.from_json(F.when(F.col("context").startswith("["), F.col("context")), "array<string>")
     contexts = F.filter(F.coalesce(as_list, F.array("context")), lambda c: c.isNotNull() & (strip(c) != ""))
     rows = rows.withColumn("id", F.coalesce("id", F.format_string("q%04d", F.col("pos") + 1))).withColumn("context", contexts)
-    return rows.where((F.trim(F.coalesce("question", F.lit(""))) != "") & (F.size("context") > 0)).drop("pos")
+    return rows.where((strip("question") != "") & (F.size("context") > 0)).drop("pos")
 
 
 def read_table(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
     """CSV with a header, quoted fields over several lines and of any length, a byte-order mark allowed.
 
-    ``required`` columns that the header lacks are an error.
+    Columns of ``schema`` are found by their header name, wherever they stand, and cast; one that the header
+    lacks is null. ``required`` columns that the header lacks are an error.
     """
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "maxCharsPerColumn": -1, "encoding": "UTF-8"}
     head = spark.read.csv(path, **options).columns
     lost = [c for c in required if c not in [h.lstrip("﻿") for h in head]]
     if lost:
         raise ValueError(f"columns {lost} are missing; there are {head}")
-    return spark.read.schema(schema).csv(path, **options)
+    names = [h.lstrip("\ufeff") for h in head]
+    rows = spark.read.csv(path, **options).toDF(*names)
+    return rows.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in StructType.fromDDL(schema).fields])
 
 
 def corpus_blocks(corpus: DataFrame, text: str = "text", least: int = 50) -> DataFrame:

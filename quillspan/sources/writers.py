@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import strip
+
 
 def write_text(df: DataFrame, column: str, path: str, append: bool = False, separator: str = "\n\n") -> None:
     """Texts that are not blank as corpus text, each followed by the separator."""
-    kept = df.where(F.trim(F.coalesce(column, F.lit(""))) != "").select(column)
+    kept = df.where(strip(column) != "").select(column)
     kept.write.mode("append" if append else "overwrite").option("lineSep", separator).text(path)
 
 

@@ -64,3 +64,14 @@ def test_streamed_run_resumes(spark, tmp_path):
     (source / "b.json").write_text('{"id": 3, "q": "c"}\n')
     assert go("c1") == [(1, "A"), (2, "B"), (3, "C")]
     assert go("c2") == [(1, "A"), (2, "B"), (3, "C")]  # a run begun afresh leaves out what is answered
+
+
+def test_table_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("\ufeffquestion,extra,id\nwhat,x,7\nwhy,y,not a number\n")
+    got = readers.read_table(spark, str(tmp_path / "t.csv"), "id int, question string, ground_truth string", ("id",)).collect()
+    assert [tuple(r) for r in got] == [(7, "what", None), (None, "why", None)]
+
+
+def test_questions_after_blank_lines(spark, tmp_path):
+    (tmp_path / "q.json").write_text('\n\t[{"question": "a?", "context": "c"}, {"question": "\\n\\t", "context": "c"}]\n')
+    assert [r.question for r in readers.read_questions(spark, str(tmp_path / "q.json")).collect()] == ["a?"]

@@ -190,3 +190,14 @@ def test_response_end_to_end(spark):
     index = sparse.bm25_index(chunks, "chunk_id", "text")
     got = retrieval.respond(q, chunks, index, vectors, asked, models.completion(), final_k=2).first()
     assert "word3 common text" in got.context and got.answer == "Question: word3 common"
+
+
+def test_short_lists_do_not_meet_the_critic(spark):
+    from pyspark.sql import functions as F
+
+    from quillspan.plans.retrieval import criticised
+
+    fused = spark.createDataFrame([(1, 0, "a", 10), (1, 1, "b", 11)], "query_id long, rank int, text string, chunk_id long")
+    queries = spark.createDataFrame([(1, "q")], "query_id long, query string")
+    got = criticised(fused, queries, lambda prompt: F.raise_error("asked").cast("string"), k=6).collect()
+    assert sorted((r["rank"], r.chunk_id) for r in got) == [(0, 10), (1, 11)]
