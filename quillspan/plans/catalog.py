@@ -165,11 +165,11 @@ def chunk_recursive(spark, d):
 
 # --- keyword retrieval --------------------------------------------------------------------
 
-QUESTION_SQL = f"q AS (SELECT item_id AS query_id, array_to_string(list_slice({BAG.format('text')}, 1, 8), ' ') AS query, text AS gold FROM benchmark)"
+QUESTION_SQL = f"q AS (SELECT item_id AS query_id, array_to_string({BAG.format('text')}, ' ') AS query, text AS gold FROM benchmark)"
 
 
 def _questions(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.token_bag("text"), 1, 8), " ").alias("query"), F.col("text").alias("gold"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(text.token_bag("text"), " ").alias("query"), F.col("text").alias("gold"))
 
 
 TF_SQL = f"tok AS (SELECT doc_id, {SEARCH.format('text')} AS ts FROM documents), tf AS (SELECT doc_id, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM tok) GROUP BY doc_id, ts, term)"
@@ -261,7 +261,7 @@ def mrr_recall(spark, d):
 # --- fusion, near-duplicates, stages ------------------------------------------------------
 
 HYBRID_SQL = f"""{COS_SQL}, dt AS (SELECT * FROM (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INTEGER AS rank FROM s) WHERE rank < 15),
-qt AS (SELECT query_id, term, count(*)::DOUBLE AS qw FROM (SELECT vec_id AS query_id, unnest({SEARCH.format("array_to_string(list_slice(" + BAG.format('text') + ", 1, 12), ' ')")}) AS term FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 100 = 0) GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*)::DOUBLE AS qw FROM (SELECT vec_id AS query_id, unnest({SEARCH.format("array_to_string(" + BAG.format('text') + ", ' ')")}) AS term FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 100 = 0) GROUP BY ALL),
 {BM25_SQL}, ss AS (SELECT query_id, chunk_id, round(sum(qw * weight), 9) AS score FROM qt JOIN w USING (term) GROUP BY ALL),
 stp AS (SELECT * FROM (SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1)::INTEGER AS rank FROM ss) WHERE rank < 15),
 l AS (SELECT query_id, 1 AS so, rank, chunk_id, text FROM dt JOIN documents ON chunk_id = doc_id UNION ALL SELECT query_id, 2, rank, chunk_id, text FROM stp JOIN documents ON chunk_id = doc_id)"""
@@ -280,7 +280,7 @@ st4 AS (SELECT query_id, CASE so WHEN 1 THEN 'dense' ELSE 'sparse' END AS stage,
 def _hybrid_lists(spark, d):
     docs, v = table(spark, d, "documents"), table(spark, d, "embeddings")
     asked = docs.join(v.where(F.col("vec_id") % 100 == 0).select("vec_id"), F.col("doc_id") == F.col("vec_id"))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.array_join(F.slice(text.token_bag("text"), 1, 12), " ").alias("query"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.array_join(text.token_bag("text"), " ").alias("query"))
     keyword = sparse.top_k(sparse.sparse_scores(sparse.query_terms(asked, "query_id", "query"), sparse.bm25_index(docs, "doc_id", "text")), 15)
     return retrieval.ranked_lists(_dense(spark, d, 15), keyword, docs.select(F.col("doc_id").alias("chunk_id"), "text"))
 
