@@ -58,28 +58,25 @@ def lanes(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, first
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
-
-
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """The softmax of each row, in place."""
-    x -= x.max(1, keepdims=True)
+    """The softmax of each column, in place."""
+    x -= x.max(0)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= x.sum(0)
     return x
 
 
 def _log_prob(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The log softmax of each row at its column k; x is overwritten."""
-    x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(k)), k]
+    """The log softmax of each column at its row k; x is overwritten."""
+    x -= x.max(0)
+    own = x[k, np.arange(len(k))]
     np.exp(x, out=x)
-    return own - np.log(x.sum(1))
+    return own - np.log(x.sum(0))
 
 
 def _steps(m: dict, tokens: np.ndarray, at: np.ndarray, first: np.ndarray, end: int) -> Iterator[tuple]:
-    """For each window: its positions, inputs, starts, and the states before and after each step.
+    """For each window: its positions, inputs and starts, then by step and lane the states before and after, the gates
+    r and z, the candidate n, and what r gates.
 
     Lanes that have ended, which are the last ones, take no part.
     """
@@ -89,44 +86,60 @@ def _steps(m: dict, tokens: np.ndarray, at: np.ndarray, first: np.ndarray, end:
     for lo in range(0, len(at), WINDOW):
         rows = np.s_[lo : lo + WINDOW, : int((at[lo] >= 0).sum())]
         x, f = m["I"][before[rows]] + m["b"], first[rows]  # looked up here, as training changes them between windows
-        h = h[: f.shape[1]]
-        past, now, gates = [], [], []
+        h, fresh = h[: f.shape[1]], f.any(1)
+        past, now, n, gated = (np.empty((*f.shape, hidden), F32) for _ in range(4))
+        rz = np.empty((*f.shape, 2 * hidden), F32)
         for t in range(len(f)):
-            if f[t].any():
+            if fresh[t]:
                 h = h * ~f[t][:, None]
+            past[t] = h
             u = h @ m["U"]
-            rz = _sigmoid(x[t][:, : 2 * hidden] + u[:, : 2 * hidden])
-            r, z = rz[:, :hidden], rz[:, hidden:]
-            n = np.tanh(x[t][:, 2 * hidden :] + r * u[:, 2 * hidden :])
-            past.append(h)
-            h = n + z * (h - n)
-            now.append(h)
-            gates.append((r, z, n, u[:, 2 * hidden :]))
-        yield at[rows], before[rows], f, past, now, gates
-
-
-def _by_class(of: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    cls = of[words]
-    order = np.argsort(cls, kind="stable")
-    cut = np.flatnonzero(np.diff(cls[order])) + 1
-    for part in np.split(order, cut):
-        if len(part):
-            yield int(cls[part[0]]), part
+            g = np.add(x[t, :, : 2 * hidden], u[:, : 2 * hidden], out=rz[t])
+            g *= F32(0.5)
+            np.tanh(g, out=g)
+            g *= F32(0.5)
+            g += F32(0.5)
+            gated[t] = u[:, 2 * hidden :]
+            c = np.multiply(g[:, :hidden], gated[t], out=n[t])
+            c += x[t, :, 2 * hidden :]
+            np.tanh(c, out=c)
+            h = h - c
+            h *= g[:, hidden:]
+            h += c
+            now[t] = h
+        yield at[rows], before[rows], f, past, now, rz[:, :, :hidden], rz[:, :, hidden:], n, gated
+
+
+def _order(x: np.ndarray, n: int) -> np.ndarray:
+    """A stable order of ids below n; short integers are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if n <= 1 << 16 else x, kind="stable")
+
+
+def _by_class(m: dict, cls: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Of each class of several words: its words a..z, and its run i..j of the order."""
+    cls = cls[order]
+    cut = [0, *(np.flatnonzero(np.diff(cls)) + 1).tolist(), len(cls)]
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        if j > i:
+            a, z = m["edge"][cls[i]], m["edge"][cls[i] + 1]
+            if z - a > 1:
+                yield int(a), int(z), i, j
 
 
 def score(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int = 256) -> np.ndarray:
     """log10 probability of each document; ``tokens`` of all documents on end, ``sizes`` of each."""
     out = np.zeros(len(tokens))
     if len(tokens):
-        for at, _, _, _, now, _ in _steps(m, tokens, *lanes(sizes, width), end):
+        for at, _, _, _, now, *_ in _steps(m, tokens, *lanes(sizes, width), end):
             live = at >= 0
-            spot, h = at[live], np.stack(now)[live]
+            spot = at[live]
+            cls = m["of"][tokens[spot]]
+            order = _order(cls, len(m["edge"]))
+            spot, h = spot[order], now[live][order]
             words = tokens[spot]
-            p = _log_prob(h @ m["C"] + m["c"], m["of"][words])
-            for c, part in _by_class(m["of"], words):
-                a, z = m["edge"][c], m["edge"][c + 1]
-                if z - a > 1:
-                    p[part] += _log_prob(h[part] @ m["O"][:, a:z] + m["o"][a:z], words[part] - a)
+            p = _log_prob(m["C"].T @ h.T + m["c"][:, None], cls[order])
+            for a, z, i, j in _by_class(m, cls, order):
+                p[i:j] += _log_prob(m["O"][:, a:z].T @ h[i:j].T + m["o"][a:z, None], words[i:j] - a)
             out[spot] = p
     sums = np.concatenate([[0.0], np.cumsum(out)])
     ends = np.cumsum(sizes)
@@ -143,51 +156,66 @@ def train(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int |
     m = m | {k: m[k].copy() for k in TRAINED}
     total = {k: np.full_like(m[k], 1e-3) for k in TRAINED}
     hidden = len(m["U"])
+    slope, bias = np.zeros_like(m["O"]), np.zeros_like(m["o"])
 
     def move(k: str, g: np.ndarray, part=...) -> None:
-        """Only parameters with a gradient move; Adagrad leaves the others as they are."""
-        step = np.clip(g, -5, 5)
-        total[k][part] += step * step
-        m[k][part] -= F32(rate) * step / np.sqrt(total[k][part])
+        """Only parameters with a gradient move; Adagrad leaves the others as they are. g is overwritten."""
+        np.clip(g, -5, 5, out=g)
+        total[k][part] += g * g
+        g /= np.sqrt(total[k][part])
+        g *= F32(rate)
+        m[k][part] -= g
 
     for _ in range(epochs if len(tokens) else 0):
-        for at, before, f, past, now, gates in _steps(m, tokens, *lanes(sizes, width), end):
+        for at, before, f, past, now, r, z, n, gated in _steps(m, tokens, *lanes(sizes, width), end):
             live = at >= 0
             if not live.any():
                 continue
-            h, words = np.stack(now)[live], tokens[at[live]]
-            d = _softmax(h @ m["C"] + m["c"])
-            d[np.arange(len(words)), m["of"][words]] -= 1
-            back = d @ m["C"].T
-            move("C", h.T @ d)
-            move("c", d.sum(0))
-            for c, part in _by_class(m["of"], words):
-                a, z = m["edge"][c], m["edge"][c + 1]
-                if z - a == 1:
-                    continue
-                d = _softmax(h[part] @ m["O"][:, a:z] + m["o"][a:z])
-                d[np.arange(len(part)), words[part] - a] -= 1
-                back[part] += d @ m["O"][:, a:z].T
-                move("O", h[part].T @ d, np.s_[:, a:z])
-                move("o", d.sum(0), np.s_[a:z])
-            grad = np.zeros((*at.shape, hidden), F32)
-            grad[live] = back
+            words = tokens[at[live]]
+            cls = m["of"][words]
+            order = _order(cls, len(m["edge"]))
+            h, words = now[live][order], words[order]
+            d = _softmax(m["C"].T @ h.T + m["c"][:, None])
+            d[cls[order], np.arange(len(words))] -= 1
+            back = (m["C"] @ d).T
+            move("C", (d @ h).T)
+            move("c", d.sum(1))
+            slope.fill(0)
+            bias.fill(0)
+            for a, b, i, j in _by_class(m, cls, order):
+                d = _softmax(m["O"][:, a:b].T @ h[i:j].T + m["o"][a:b, None])
+                d[words[i:j] - a, np.arange(j - i)] -= 1
+                back[i:j] += (m["O"][:, a:b] @ d).T
+                slope[:, a:b] = (d @ h[i:j]).T
+                bias[a:b] = d.sum(1)
+            move("O", slope)
+            move("o", bias)
+            grad, spread = np.zeros((*at.shape, hidden), F32), np.empty_like(back)
+            spread[order] = back
+            grad[live] = spread
+            to_n = (1 - z) * (1 - n * n)
+            to_r, to_z = gated * r * (1 - r), (past - n) * z * (1 - z)
+            keep = ~f[:, :, None]
             carry = np.zeros((at.shape[1], hidden), F32)
-            into = np.zeros((*at.shape, 3 * hidden), F32)
-            turn = np.zeros_like(m["U"])
+            into = np.empty((*at.shape, 3 * hidden), F32)  # as it reaches U; the part of n still gated by r
+            plain = np.empty((*at.shape, hidden), F32)
             for t in range(len(at) - 1, -1, -1):
-                r, z, n, u = gates[t]
-                dh = grad[t] + carry
-                dn = dh * (1 - z) * (1 - n * n)
-                da = np.concatenate([dn * u * r * (1 - r), dh * (past[t] - n) * z * (1 - z), dn], 1)
-                into[t] = da
-                du = np.concatenate([da[:, : 2 * hidden], dn * r], 1)
-                turn += past[t].T @ du
-                carry = (dh * z + du @ m["U"].T) * ~f[t][:, None]
+                dh = grad[t]
+                dh += carry
+                dn = np.multiply(dh, to_n[t], out=plain[t])
+                np.multiply(dn, to_r[t], out=into[t, :, :hidden])
+                np.multiply(dh, to_z[t], out=into[t, :, hidden : 2 * hidden])
+                np.multiply(dn, r[t], out=into[t, :, 2 * hidden :])
+                carry = into[t] @ m["U"].T
+                dh *= z[t]
+                carry += dh
+                carry *= keep[t]
+            turn = past.reshape(-1, hidden).T @ into.reshape(-1, 3 * hidden)
+            into[:, :, 2 * hidden :] = plain
             from_, into = before[live], into[live]
-            order = np.argsort(from_, kind="stable")
+            order = _order(from_, len(m["I"]))
             seen, cut = np.unique(from_[order], return_index=True)
             move("U", turn)
-            move("I", np.add.reduceat(into[order], cut), seen)
             move("b", into.sum(0))
+            move("I", np.add.reduceat(into[order], cut), seen)
     return m
