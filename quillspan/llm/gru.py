@@ -15,6 +15,8 @@ import numpy as np
 F32 = np.float32
 #: Steps of a window: of truncated backpropagation, and of output computed at once.
 WINDOW = 24
+#: Tokens whose probabilities are computed at once when scoring, at least.
+BLOCK = 12000
 
 
 def start(counts: np.ndarray, hidden: int = 16, classes: int = 32, seed: int = 3) -> dict:
@@ -129,18 +131,28 @@ def _by_class(m: dict, cls: np.ndarray, order: np.ndarray) -> Iterator[tuple[int
 def score(m: dict, tokens: np.ndarray, sizes: np.ndarray, end: int, width: int = 256) -> np.ndarray:
     """log10 probability of each document; ``tokens`` of all documents on end, ``sizes`` of each."""
     out = np.zeros(len(tokens))
-    if len(tokens):
-        for at, _, _, _, now, *_ in _steps(m, tokens, *lanes(sizes, width), end):
-            live = at >= 0
-            spot = at[live]
-            cls = m["of"][tokens[spot]]
-            order = _order(cls, len(m["edge"]))
-            spot, h = spot[order], now[live][order]
-            words = tokens[spot]
-            p = _log_prob(m["C"].T @ h.T + m["c"][:, None], cls[order])
-            for a, z, i, j in _by_class(m, cls, order):
-                p[i:j] += _log_prob(m["O"][:, a:z].T @ h[i:j].T + m["o"][a:z, None], words[i:j] - a)
-            out[spot] = p
+
+    def fill(spot: np.ndarray, h: np.ndarray) -> None:
+        cls = m["of"][tokens[spot]]
+        order = _order(cls, len(m["edge"]))
+        spot, h = spot[order], h[order]
+        words = tokens[spot]
+        p = _log_prob(m["C"].T @ h.T + m["c"][:, None], cls[order])
+        for a, z, i, j in _by_class(m, cls, order):
+            p[i:j] += _log_prob(m["O"][:, a:z].T @ h[i:j].T + m["o"][a:z, None], words[i:j] - a)
+        out[spot] = p
+
+    spots, states, held = [], [], 0
+    for at, _, _, _, now, *_ in _steps(m, tokens, *lanes(sizes, width), end) if len(tokens) else ():
+        live = at >= 0
+        spots.append(at[live])
+        states.append(now[live])
+        held += len(spots[-1])
+        if held >= BLOCK:  # windows of few lanes are put together
+            fill(np.concatenate(spots), np.concatenate(states))
+            spots, states, held = [], [], 0
+    if held:
+        fill(np.concatenate(spots), np.concatenate(states))
     sums = np.concatenate([[0.0], np.cumsum(out)])
     ends = np.cumsum(sizes)
     return (sums[ends] - sums[ends - sizes]) / np.log(10)
