@@ -133,7 +133,9 @@ def train(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text:
         return fit(pa.array([], pa.string()), [], s)
     share = max(1, s.max_train // n)
     u = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / float(1 << 40)
-    near = own.select("k", "l", u.alias("u")).join(counts, "l").where(F.col("u") * F.col("n") <= 2 * share + 100).select("k", "l", "u").distinct()
+    # Only the first ``max_train`` languages can give a row; a shuffled join would send all rows of one to one task.
+    sized = F.broadcast(counts.orderBy("l").limit(s.max_train))
+    near = own.select("k", "l", u.alias("u")).join(sized, "l").where(F.col("u") * F.col("n") <= 2 * share + 100).select("k", "l", "u").distinct()
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("u", "k"))).where(F.col("r") <= share).select("r", "l", "k")
     picked = ranked.orderBy("r", "l", "k").limit(s.max_train).select("r", F.col("l").alias("pl"), F.col("k").alias("pk"))
     rows = own.join(F.broadcast(picked), F.col("k").eqNullSafe(F.col("pk")) & (F.col("l") == F.col("pl"))).select("r", "l", "k", "t")
