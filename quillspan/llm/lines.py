@@ -5,14 +5,15 @@ segments and one of them stands unchanged in the other line, at an offset that
 the edits before and after it and the difference in length bound. A line is
 indexed by its own segments and probes, for each length it may meet, the
 substrings at the offsets that matter. Shared keys make candidate clusters; in
-each, the same index narrows the pairs and a banded bit-parallel edit distance
-decides. The threshold follows the shorter line's length: one edit for each
+each, the same index and sketches of the lines narrow the pairs and a banded
+bit-parallel edit distance decides. The threshold follows the shorter line's length: one edit for each
 ``per`` bytes, up to ``most``, so that short lines are not linked by chance.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +78,27 @@ def distance_within(a: bytes, b: bytes, most: int) -> bool:
     return bool(row[most] >> (len(b) - len(a) + most) & 1)
 
 
+#: 64-bit words of a sketch of a line.
+SKETCH = 8
+
+
+def sketches(lines: list[bytes]) -> np.ndarray:
+    """Parities of how often a line has the byte pairs of each place: a column a line. One edit turns four at most."""
+    out = np.empty((SKETCH, len(lines)), U64)
+    for k, line in enumerate(lines):
+        x = np.frombuffer(line, np.uint8).astype(U64)
+        place = kernel.mix((x[:-1] << U64(8)) | x[1:]) % U64(64 * SKETCH)
+        out[:, k] = np.packbits((np.bincount(place.astype(np.int64), minlength=64 * SKETCH) & 1).astype(bool)).view(U64)
+    return out
+
+
 def edit_join(most: int, per: int):
-    """The join of ``linking.in_clusters`` on lines."""
+    """The join of ``linking.in_clusters`` on lines.
+
+    Lines go in by length. A line meets those of fitting length whose sketch is near
+    its own, or of them, where these are much fewer, those that share a segment with
+    it; the distance is computed to the ones that are not tied to it already.
+    """
     bound = lambda length: min(most, length // per)
     probes: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
 
@@ -90,23 +110,35 @@ def edit_join(most: int, per: int):
         return probes[length, shift]
 
     def join(first: list, second: list) -> Iterator[tuple[int, int]]:
-        forest = linking.Forest()
+        held = sorted([(len(line), 0, node, line) for node, line in first] + [(len(line), 1, node, line) for node, line in second])
+        marks = sketches([line for *_, line in held])
+        side = np.array([x for _, x, *_ in held], np.int8)
+        group = np.arange(len(held))  # lines of one number are tied
         index: dict[tuple[int, int, bytes], list[int]] = {}
-        held = [*first, *second]
-        for k, (node, line) in enumerate(held):
-            seen: set[int] = set()
-            for length in range(len(line) - most, len(line) + most + 1):
-                if abs(len(line) - length) <= bound(min(length, len(line))) > 0:
-                    for i, at, size in places(length, len(line) - length):
-                        seen.update(index.get((length, i, line[at : at + size]), ()))
-            for j in sorted(seen):
-                other, text = held[j]
-                if forest.root(other) != forest.root(node) and distance_within(text, line, bound(min(len(text), len(line)))):
-                    forest.tie(other, node)
+        begin: dict[int, int] = {}  # the first line of each length
+        for k, (size, own, node, line) in enumerate(held):
+            begin.setdefault(size, k)
+            fit = [x for x in range(max(0, size - most), size + 1) if x in begin and size - x <= bound(x) > 0]
+            shared = [index.get((x, i, line[at : at + n]), ()) for x in fit for i, at, n in places(x, size - x)]
+            if 4 * sum(map(len, shared)) < k - (begin[fit[0]] if fit else k):
+                near = np.unique(np.fromiter(chain.from_iterable(shared), np.int64))
+            else:
+                near = np.arange(begin[fit[0]] if fit else k, k)
+            if second:
+                near = near[side[near] != own]
+            near = near[group[near] != group[k]]
+            if len(near):
+                apart = sum(np.bitwise_count(mark[near] ^ mark[k]).astype(np.int64) for mark in marks)
+                near = near[apart <= 4 * most]
+            while len(near):
+                j, near = int(near[0]), near[1:]
+                length, _, other, text = held[j]
+                if size - length <= bound(length) and distance_within(text, line, bound(length)):
+                    group[group == group[j]] = group[k]
+                    near = near[group[near] != group[k]]
                     yield other, node
-            if k < len(first):
-                for i, (at, size) in enumerate(segments(len(line), bound(len(line)))):
-                    index.setdefault((len(line), i, line[at : at + size]), []).append(k)
+            for i, (at, n) in enumerate(segments(size, bound(size))):
+                index.setdefault((size, i, line[at : at + n]), []).append(k)
 
     return join
 

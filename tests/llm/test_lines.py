@@ -85,3 +85,35 @@ def test_short_lines(spark):
     got = lines.dedup_lines(spark.createDataFrame(docs[:-2], "doc_id long, text string")).collect()
     assert {r.doc_id: (r.n_lines, list(r.removed)) for r in got} == brute(docs[:-2])
     assert len(lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id = 900").collect()) == 2
+
+
+def test_large_cluster(monkeypatch):
+    """Many versions of one line share segments; few pairs of them are worth a distance, and no link is lost."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aehinorst") for _ in range(rng.randint(2, 8)))
+    base = [word() for _ in range(40)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w).encode())
+    texts += [x[:-2] + b"z" + x[-1:] for x in texts[:40]]
+    held = list(enumerate(dict.fromkeys(texts)))
+    linked = lambda x, y: abs(len(x) - len(y)) <= 2 and lev(x, y) <= 2
+    calls, real = [], lines.distance_within
+    monkeypatch.setattr(lines, "distance_within", lambda *a: calls.append(a) or real(*a))
+
+    def groups(links):
+        up = {i: i for i, _ in held}
+        for a, b in links:
+            x, y = sorted((up[a], up[b]))
+            up = {k: x if v == y else v for k, v in up.items()}
+        return up
+
+    want = groups((i, j) for i, x in held for j, y in held[:i] if linked(x, y))
+    assert len(set(want.values())) < len(held) - 30
+    assert groups(lines.edit_join(2, 8)(held, [])) == want
+    assert len(calls) < 2 * len(held)
+    join, half = lines.edit_join(2, 8), len(held) // 2
+    assert groups([*join(held[:half], []), *join(held[half:], []), *join(held[:half], held[half:])]) == want
