@@ -75,12 +75,18 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A hash of values[start:end] for each span, by one prefix sum; equal spans hash alike."""
-    base = BASES[which]
-    up, down = powers(base, len(values) + 1)
+def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """What ``span_hashes`` needs of ``values``; it serves any number of sets of spans."""
     sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
+    np.cumsum(values * powers(BASES[which], len(values) + 1)[0][: len(values)], out=sums[1:])
+    return sums
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, sums: np.ndarray | None = None) -> np.ndarray:
+    """A hash of values[start:end] for each span, by one prefix sum; equal spans hash alike."""
+    if sums is None:
+        sums = prefix_sums(values, which)
+    down = powers(BASES[which], len(sums))[1]
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 

@@ -147,10 +147,13 @@ def line_keys(w: kernel.Words, pick: np.ndarray, most: int, per: int) -> Iterato
     """Keys of the lines ``pick`` and the index into ``pick`` of each: a line's own segments, and what it probes."""
     start, size = w.start[pick], w.end[pick] - w.start[pick]
     data = kernel._bytes_table(1)[w.data]
+    sums = kernel.prefix_sums(data)
     for shift in range(most + 1):
         edits = permitted(size - shift, most, per)
         for t in range(max(1, shift), most + 1):
             own = np.flatnonzero(edits == t)
+            if not len(own):
+                continue
             length = size[own] - shift
             at = np.zeros_like(length)
             for i in range(t + 1):
@@ -158,7 +161,7 @@ def line_keys(w: kernel.Words, pick: np.ndarray, most: int, per: int) -> Iterato
                 for d in offsets(i, shift, t):
                     ok = np.flatnonzero((at + d >= 0) & (at + d + span <= length + shift))
                     s = start[own[ok]] + at[ok] + d
-                    h = kernel.span_hashes(data, s, s + span[ok])
+                    h = kernel.span_hashes(data, s, s + span[ok], sums=sums)
                     yield kernel.mix(h ^ kernel.mix((length[ok] * 16 + i).astype(U64))), own[ok]
                 at = at + span
 

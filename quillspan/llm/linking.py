@@ -86,7 +86,7 @@ class Keys:
         keys = np.concatenate([np.zeros(0, np.uint64), *self.keys])
         nodes = np.concatenate([np.zeros(0, np.int64), *self.nodes])
         self.keys, self.nodes, self.held = [], [], 0
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         same = keys[order[1:]] == keys[order[:-1]]
         x, y = nodes[order[:-1][same]], nodes[order[1:][same]]
         apart = x != y
@@ -94,7 +94,8 @@ class Keys:
         first = order[np.concatenate([[True], ~same])] if len(order) else order
         keys, nodes = keys[first], nodes[first]
         bucket = (keys % np.uint64(self.buckets)).astype(np.int32)
-        order = np.lexsort((nodes, bucket))  # a node's entries side by side compress well
+        shift = np.uint64(64 - self.buckets.bit_length())
+        order = np.argsort((bucket.astype(np.uint64) << shift) | (nodes.view(np.uint64) >> (np.uint64(64) - shift)))  # a node's entries side by side compress well
         keys, nodes, bucket = keys[order] // np.uint64(self.buckets), nodes[order], bucket[order]
         packed = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
         cut = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=-1)), [len(bucket)]]).tolist()
@@ -137,7 +138,7 @@ def tied(dealt: DataFrame) -> DataFrame:
         keys = np.zeros((len(nodes), 8), np.uint8)
         keys[:, :KEY_BYTES] = raw(group["keys"], np.uint8).reshape(-1, KEY_BYTES)
         keys = keys.view("<u8").ravel()
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         same = keys[order[1:]] == keys[order[:-1]]
         a, b = stars(np.concatenate([nodes[order[:-1][same]], ties[:, 0]]), np.concatenate([nodes[order[1:][same]], ties[:, 1]]))
         del nodes, ties, keys, order, same

@@ -117,3 +117,12 @@ def test_large_cluster(monkeypatch):
     assert len(calls) < 2 * len(held)
     join, half = lines.edit_join(2, 8), len(held) // 2
     assert groups([*join(held[:half], []), *join(held[half:], []), *join(held[:half], held[half:])]) == want
+
+
+def test_keys_share_prefix_sums(monkeypatch):
+    """One pass over the bytes serves all segments and offsets."""
+    calls, real = [], lines.kernel.prefix_sums
+    monkeypatch.setattr(lines.kernel, "prefix_sums", lambda *a: calls.append(a) or real(*a))
+    (w,) = lines.kernel.words(lines.pa.array(["a line of some length\nand another one"]), space=lines.NEWLINE)
+    assert sum(len(k) for k, _ in lines.line_keys(w, lines.np.arange(2), 2, 8)) == 16
+    assert len(calls) == 1
