@@ -136,7 +136,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     picked = known.withColumn("at", F.xxhash64("k")).orderBy("at", "k", "y").limit(settings.max_train)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")
     rows = sample.bounded(rows, "t", ["at", "k", "y"], settings.max_train, settings.max_bytes)
-    return fit(rows["t"].combine_chunks(), rows["y"].to_numpy().astype(np.int64), settings)
+    model = fit(rows["t"].combine_chunks(), rows["y"].to_numpy().astype(np.int64), settings)
+    del rows
+    kernel.release()  # the driver lives on, with what it needs for later stages
+    return model
 
 
 def toxicity(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.5, score_as: str = "toxic_score", flag_as: str = "is_toxic") -> DataFrame:

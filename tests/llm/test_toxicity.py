@@ -75,3 +75,14 @@ def test_scores_by_brute_force():
                 mean, n = mean + float(np.mean(model["weight"][own])), n + 1
         want = 1 / (1 + np.exp(-(mean / max(1, n) + model["bias"])))
         assert abs(s - want) < 1e-4
+
+
+def test_memory_of_fitting_is_given_back(spark, monkeypatch):
+    """The driver keeps the model only: what fitting took is freed, then released, before ``train`` returns."""
+    docs = spark.createDataFrame([(i, f"good text {i}" if i % 2 else f"vile text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id long, toxic int")
+    steps, fit, release = [], toxicity.fit, toxicity.kernel.release
+    monkeypatch.setattr(toxicity, "fit", lambda *a: (fit(*a), steps.append("fitted"))[0])
+    monkeypatch.setattr(toxicity.kernel, "release", lambda: (release(), steps.append("released"))[0])
+    toxicity.train(docs, labels)
+    assert steps[-2:] == ["fitted", "released"]
