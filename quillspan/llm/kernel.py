@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; documents are never split. Tables of powers just fit it.
-CHUNK = (1 << 20) - 2
+CHUNK = (1 << 18) - 2
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 
@@ -173,9 +173,14 @@ for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One position of each distinct value, and for each value the index of its own."""
-    _, at, inverse = np.unique(values, return_index=True, return_inverse=True)
-    return at, inverse
+    """One position of each distinct value, the values ascending, and for each value the index of its own."""
+    order = np.argsort(values)
+    ascending = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
 
 
 def char_grams(w: Words, which: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

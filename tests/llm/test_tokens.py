@@ -65,3 +65,21 @@ def test_files_round_trip(spark, monkeypatch):
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.read_tokens(tokens.write_tokens(df, PATH, end_id=1)).count() == 0
+
+
+def test_memory_of_a_chunk():
+    """Beside its text, a task holds arrays of a small chunk only, and equal words are told apart as by ``unique``."""
+    import tracemalloc
+
+    from quillspan.llm import kernel
+
+    column = pa.array([" ".join(f"word{i * k % 997}" for i in range(500)) for k in range(1000)])
+    for w in kernel.words(column):  # tables of powers stay, so they do not count
+        w.hashes()
+    tracemalloc.start()
+    for w in kernel.words(column):
+        at, inverse = kernel.distinct(values := w.hashes())
+        assert np.array_equal(values[at], np.unique(values)) and np.array_equal(values[at][inverse], values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
