@@ -71,6 +71,7 @@ def top_k(scores: DataFrame, k: int, by: Column | None = None) -> DataFrame:
 def scan_top_k(scores: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Always k rows a query: after the scored chunks, those of score 0, by chunk_id.
 
+    ``scores`` may be the k best of each query alone.
     A query that is short of k has fewer than k scored chunks, so its blanks are
     among the 2k smallest ids.
     """

@@ -16,10 +16,13 @@ ANSWER = "Answer from the context only. If it is not there, say that it does not
 
 
 def ranked_lists(dense_top: DataFrame, sparse_top: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Both lists as (query_id, source, rank, chunk_id, text), texts from chunks (chunk_id, text)."""
+    """Both lists as (query_id, source, rank, chunk_id, text), texts from chunks (chunk_id, text).
+
+    The lists, k short rows a query, go to where the texts are.
+    """
     lists = dense_top.select("query_id", F.lit("dense").alias("source"), "rank", "chunk_id").unionByName(
         sparse_top.select("query_id", F.lit("sparse").alias("source"), "rank", "chunk_id"))
-    return lists.join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "source", "rank", "chunk_id", "text")
+    return chunks.select("chunk_id", "text").join(F.broadcast(lists), "chunk_id").select("query_id", "source", "rank", "chunk_id", "text")
 
 
 def retrieve_stages(
@@ -32,9 +35,9 @@ def retrieve_stages(
     if relevance is not None:
         kept = fusion.filter_relevant(kept.join(relevance, ["query_id", "chunk_id"]), threshold).drop("score")
     fused = fusion.fuse(kept, weights, top_k)
-    stage = lambda df, s: df.select("query_id", F.lit(s).alias("stage"), "rank", "chunk_id", "text")
+    stages = F.when(F.col("rank") < final_k, F.array(F.lit("hybrid"), F.lit("final"))).otherwise(F.array(F.lit("hybrid")))
     raw = lists.select("query_id", F.col("source").alias("stage"), "rank", "chunk_id", "text")
-    return raw.unionByName(stage(fused, "hybrid")).unionByName(stage(fused.where(F.col("rank") < final_k), "final"))
+    return raw.unionByName(fused.select("query_id", F.explode(stages).alias("stage"), "rank", "chunk_id", "text"))
 
 
 def criticised(fused: DataFrame, queries: DataFrame, complete: Callable[[Column], Column], k: int = 6) -> DataFrame:

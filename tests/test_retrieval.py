@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import parsing, similarity
-from quillspan.operators import chunking, dense, evalset, fusion, metrics, models, ocr, sparse
+from quillspan.operators import chunking, dense, evalset, fusion, metrics, models, ocr, scoring, sparse
 from quillspan.plans import retrieval
 
 
@@ -201,3 +201,64 @@ def test_short_lists_do_not_meet_the_critic(spark):
     queries = spark.createDataFrame([(1, "q")], "query_id long, query string")
     got = criticised(fused, queries, lambda prompt: F.raise_error("asked").cast("string"), k=6).collect()
     assert sorted((r["rank"], r.chunk_id) for r in got) == [(0, 10), (1, 11)]
+
+
+def test_keyword_top_k_makes_no_row_for_a_pair(spark):
+    rng = random.Random(3)
+    words = [*"abcdefgh", "été", "ß", "日本", "naïve_1"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12))).replace(" ", rng.choice([" ", "—", "\n"]))) for i in range(120)] + [(120, None), (121, "A Éte a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    q = df.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    for method, index in (("bm25", sparse.bm25_index), ("tfidf", sparse.tfidf_index)):
+        scores = sparse.sparse_scores(sparse.query_terms(q, "query_id", "query"), index(df, "doc_id", "text"), 6)
+        want = sorted((r.query_id, r.chunk_id, r.score, r.rank) for r in sparse.top_k(scores, 7).collect())
+        top = scoring.keyword_top_k(q, df, 7, method=method, digits=6)
+        assert sorted(map(tuple, top.collect())) == want
+        plan = top._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
+    terms = sparse.term_counts(df, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)), F.sum("tf"))
+    assert sorted(map(tuple, terms.collect())) == sorted(map(tuple, scoring.term_statistics(df, "doc_id", "text").collect()))
+    assert scoring.keyword_top_k(q.where("false"), df, 3).count() == 0
+
+
+def test_keyword_scores_of_zero_and_below_and_repeated_rows(spark):
+    rows = [(0, "a b"), (1, "a b"), (2, "a c"), (3, "b c"), (3, "b c"), (3, "b"), (None, "a"), (5, "")]
+    for n in (4, len(rows)):  # with two of four texts an idf is 0, so pairs that share a term score 0
+        df = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        q = spark.createDataFrame([(0, "a"), (1, "b c c"), (2, "z")], "query_id long, query string")
+        tf = df.groupBy("doc_id", "text").count().select("doc_id", F.explode(F.split("text", " ")).alias("term"), F.size(F.split("text", " ")).alias("dl"), "text", "count")
+        tf = tf.where("term <> ''").groupBy("doc_id", "text", "dl", "term").agg((F.count(F.lit(1)) * F.first("count")).alias("tf")).collect()
+        seen = Counter(r.term for r in tf)
+        idf = {t: math.log(n - f + 0.5) - math.log(f + 0.5) for t, f in seen.items()}
+        mean, avg = sum(idf.values()) / len(idf), sum(len(t.split()) for _, t in rows[:n]) / n
+        idf = {t: x if x >= 0 else 0.25 * mean for t, x in idf.items()}
+        want = Counter()
+        for i, query in ((0, "a"), (1, "b c c")):
+            for r in tf:
+                if r.term in query.split():
+                    want[i, r.doc_id] += query.split().count(r.term) * idf[r.term] * r.tf * 2.5 / (r.tf + 1.5 * (0.25 + 0.75 * r.dl / avg))
+        got = {(r.query_id, r.chunk_id): r.score for r in scoring.keyword_top_k(q, df, 9).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_dense_holds_few_scores(spark, monkeypatch):
+    shapes = []
+    add = scoring.Best.add
+    monkeypatch.setattr(scoring.Best, "add", lambda self, lo, scores, *rest: (shapes.append(scores.shape), add(self, lo, scores, *rest))[1])
+    best = scoring.Best(2, 3)
+    for lo in range(0, 40, 8):
+        best.add(0, scoring.np.array([[x % 7.0 for x in range(lo, lo + 8)], [-1.0] * 8]), scoring.np.arange(lo, lo + 8), True, 6)
+    assert list(zip(best.query.tolist(), best.score.tolist(), best.id.tolist(), strict=True)) == [(0, 6.0, 6), (0, 6.0, 13), (0, 6.0, 20), (1, -1.0, 0), (1, -1.0, 1), (1, -1.0, 2)]
+    v = spark.createDataFrame([(i, [float(i % 13), float(i % 7) + 1]) for i in range(3000)], "chunk_id long, vector array<float>").repartition(2)
+    top = dense.dense_top_k(v.where("chunk_id < 3").withColumnRenamed("chunk_id", "query_id"), v, 5)
+    assert "mapinarrow" in top._jdf.queryExecution().optimizedPlan().toString().lower() and top.count() == 15
+    from quillspan.plans import catalog
+
+    plan = catalog.mrr_recall(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan  # relevant pairs are not listed
+
+
+def test_reciprocal_rank_of_rank_below_zero(spark):
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    found = spark.createDataFrame([(1, -1), (2, 1)], "query_id long, rank int")
+    assert tuple(metrics.first_ranks(asked, found).first())[:2] == (2, math.inf)
