@@ -1,8 +1,9 @@
 """Exact nearest neighbours by cosine: a set of queries, in blocks, against all vectors.
 
-Each block of queries is one matrix that travels with the tasks; a batch of
-vectors is multiplied with it at once and gives its own k best for each query, so
-what is shuffled is k rows a query and batch, whatever the number of vectors.
+Each block of queries is one matrix that travels with the tasks; a few vectors
+are multiplied with a part of it at once. A task keeps the k best of each query, so
+what is shuffled is k rows a query and task, and what a task holds depends on
+neither the number of vectors nor, beyond a block, that of queries.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.scoring import BLOCK, NULL, TEXTS, Best
 from quillspan.operators.sparse import top_k
 
-#: Queries of one block.
-BLOCK = 1024
+#: Queries of one pass over the vectors.
+PASS = 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -43,21 +46,20 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, asked = shared.value
+            best = Best(len(names), k)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                chunk = batch.column(0).to_numpy()
-                scores = np.round(asked @ _matrix(batch.column(1)).T, digits)
-                order = np.lexsort((np.broadcast_to(chunk, scores.shape), -scores), axis=1)[:, :k]
-                spot = np.arange(len(names))[:, None]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(chunk[order].ravel()), pa.array(scores[spot, order].ravel())], ["query_id", "chunk_id", "score"])
+                chunk = pc.fill_null(batch.column(0), NULL).to_numpy()
+                for at in range(0, len(chunk), TEXTS):
+                    few = _matrix(batch.column(1).slice(at, TEXTS)).T
+                    for lo in range(0, len(names), BLOCK):
+                        best.add(lo, asked[lo : lo + BLOCK] @ few, chunk[at : at + TEXTS], True, digits)
+            yield pa.RecordBatch.from_arrays([pa.array(names[best.query]), pa.array(best.id, mask=best.id == NULL), pa.array(best.score)], ["query_id", "chunk_id", "score"])
 
         return vectors.where(F.col("vector").isNotNull()).select(F.col("chunk_id").cast("long"), "vector").mapInArrow(run, "query_id long, chunk_id long, score double")
 
     for row in rows:
         block.append(row)
-        if len(block) == BLOCK:
+        if len(block) == PASS:
             part, block = best_of(block), []
             out = part if out is None else out.unionByName(part)
     if block or out is None:
