@@ -6,7 +6,9 @@ the edits before and after it and the difference in length bound. A line is
 indexed by its own segments and probes, for each length it may meet, the
 substrings at the offsets that matter. Shared keys make candidate clusters; in
 each, the same index and sketches of the lines narrow the pairs and a banded
-bit-parallel edit distance decides. The threshold follows the shorter line's length: one edit for each
+bit-parallel edit distance decides. Short lines share segments by chance, so with the corpus
+most of them grow into one cluster; a cluster of many lines is taken apart again, and
+only lines of one key meet there. The threshold follows the shorter line's length: one edit for each
 ``per`` bytes, up to ``most``, so that short lines are not linked by chance.
 """
 
@@ -27,6 +29,10 @@ NEWLINE = np.zeros(256, bool)
 NEWLINE[0x0A] = True
 #: Keys of a line, about.
 KEYS = 12
+#: Lines from which a cluster is taken apart by its keys, lines of a key from which its pairs are dealt over tasks, rows of a bucket of keys, about.
+LARGE, HOT, BUCKET = 1000, 30_000, 50_000
+#: Lines of a key from which they go in one by one, and pairs of smaller keys compared at once.
+MANY, PAIRS = 48, 200_000
 
 
 def permitted(length, most: int, per: int):
@@ -143,6 +149,101 @@ def edit_join(most: int, per: int):
     return join
 
 
+def sketched(lines: list[bytes]) -> np.ndarray:
+    """``sketches`` of many short lines, a row a line."""
+    out = []
+    for lo in range(0, len(lines), 4096):
+        some = lines[lo : lo + 4096]
+        data = np.frombuffer(b"".join(some), np.uint8).astype(U64)
+        of = np.repeat(np.arange(len(some)), [len(x) for x in some])
+        place = kernel.mix((data[:-1] << U64(8)) | data[1:]) % U64(64 * SKETCH)
+        inside = of[1:] == of[:-1]
+        odd = np.bincount(of[1:][inside] * (64 * SKETCH) + place[inside].astype(np.int64), minlength=len(some) * 64 * SKETCH) & 1
+        out.append(np.packbits(odd.astype(bool).reshape(len(some), -1), axis=1).view(U64))
+    return np.concatenate(out) if out else np.zeros((0, SKETCH), U64)
+
+
+def key_join(keys: np.ndarray, nodes: np.ndarray, lines: list[bytes], most: int, per: int) -> Iterator[tuple[int, int]]:
+    """Links of lines that share a key, all rows (key, node, line) of some keys given; those that others tie already may be left out."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes, lines = keys[order], nodes[order], [lines[i] for i in order.tolist()]
+    size = np.array([len(x) for x in lines], np.int64)
+    cut = np.concatenate([np.flatnonzero(np.diff(keys, prepend=keys[:1] + 1)), [len(keys)]]).astype(np.int64) if len(keys) else np.zeros(1, np.int64)
+    count = np.diff(cut)
+    marks = sketched(lines)
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs may be linked, as lengths and sketches have it."""
+        bound = permitted(np.minimum(size[i], size[j]), most, per)
+        ok = (np.abs(size[i] - size[j]) <= bound) & (nodes[i] != nodes[j])
+        ok[ok] = np.bitwise_count(marks[i[ok]] ^ marks[j[ok]]).sum(axis=1, dtype=np.int64) <= 4 * bound[ok]
+        return ok
+
+    def linked(i: int, j: int) -> bool:
+        a, b = sorted((lines[i], lines[j]), key=len)
+        return distance_within(a, b, min(most, len(a) // per))
+
+    few = np.flatnonzero((count > 1) & (count < MANY))
+    row = np.repeat(few, count[few])  # a row meets those behind it in its key
+    at = cut[row] + np.arange(len(row)) - np.repeat(np.cumsum(count[few]) - count[few], count[few])
+    rest = cut[row + 1] - at - 1
+    ends, lo = np.cumsum(rest), 0
+    seen: set[tuple[int, int]] = set()
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - rest[lo] + PAIRS, "right")))
+        i = np.repeat(at[lo:hi], rest[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[lo:hi] - rest[lo:hi] - (ends[lo] - rest[lo]), rest[lo:hi])
+        ok = near(i, j)
+        for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+            pair = int(nodes[x]), int(nodes[y])
+            if pair not in seen:
+                seen.add(pair)
+                if linked(x, y):
+                    yield pair
+        lo = hi
+    for k in np.flatnonzero(count >= MANY).tolist():
+        first = int(cut[k])
+        group = np.arange(count[k])  # lines of one number are tied
+        for x in range(1, int(count[k])):
+            others = np.flatnonzero(group[:x] != group[x])
+            others = others[near(first + others, np.full(len(others), first + x))]
+            while len(others):
+                y, others = int(others[0]), others[1:]
+                if linked(first + x, first + y):
+                    group[group == group[y]] = group[x]
+                    others = others[group[others] != group[x]]
+                    yield int(nodes[first + y]), int(nodes[first + x])
+
+
+def linked_lines(items: DataFrame, most: int, per: int) -> DataFrame:
+    """Links (a, b) of the lines ``items`` (cluster, node, content): within small clusters, and within the keys of large ones."""
+    large = store.staged(items.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE), "large")
+    links = linking.in_clusters(items.join(large.select("cluster"), "cluster", "left_anti"), edit_join(most, per))
+    n_lines = large.agg(F.sum("n")).first()[0]
+    if not n_lines:
+        return links
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, content = batch.column(0), batch.column(1)
+            for w in kernel.words(content.cast(pa.string()), space=NEWLINE):  # a line is a word of its own
+                for k, which in line_keys(w, np.arange(len(w.start)), most, per):
+                    rows = pa.array(w.lo + which)
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), nodes.take(rows), content.take(rows)], ["cluster", "node", "content"])
+
+    rows = items.join(large.select("cluster"), "cluster", "left_semi").select("node", "content").mapInArrow(keyed, "cluster long, node long, content binary").distinct()
+    rows = store.staged(rows, "keyed")
+    hot = store.staged(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("cluster"), "hot")
+    buckets = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_lines * KEYS // BUCKET)
+
+    def run(group: pa.Table) -> pa.Table:
+        links = list(key_join(group["cluster"].to_numpy(), group["node"].to_numpy(), group["content"].to_pylist(), most, per))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    some = rows.join(hot, "cluster", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
+    return links.unionByName(some.groupBy("bucket").applyInArrow(run, "a long, b long")).unionByName(linking.in_clusters(rows.join(hot, "cluster", "left_semi"), edit_join(most, per)))
+
+
 def line_keys(w: kernel.Words, pick: np.ndarray, most: int, per: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Keys of the lines ``pick`` and the index into ``pick`` of each: a line's own segments, and what it probes."""
     start, size = w.start[pick], w.end[pick] - w.start[pick]
@@ -222,7 +323,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", most:
     held = store.staged(where.groupBy("doc_id").agg(F.collect_list("r").alias("rows")), "held")
     items = linking.matching(keyed, "doc_id", held).select("doc_id", "text", "rows").mapInArrow(contents, "cluster long, node long, content binary")
     # Two lines of one hash would be one node; texts that differ in a document of several rows are left to their hash.
-    links = store.staged(linking.in_clusters(items.dropDuplicates(["node"]), edit_join(most, per)), "links")
+    items = store.staged(items.dropDuplicates(["node"]), "items")
+    links = store.staged(linked_lines(items, most, per), "links")
+    store.drop(items)
     groups = store.staged(linking.components(links).withColumnRenamed("node", "h"), "groups")
     tied = distinct.join(groups.hint("merge"), "h", "left").select("h", "n", "first", "component")
     leads = tied.where("component is not null").groupBy("component").agg(F.min("first").alias("lead"))

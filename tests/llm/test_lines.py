@@ -126,3 +126,24 @@ def test_keys_share_prefix_sums(monkeypatch):
     (w,) = lines.kernel.words(lines.pa.array(["a line of some length\nand another one"]), space=lines.NEWLINE)
     assert sum(len(k) for k, _ in lines.line_keys(w, lines.np.arange(2), 2, 8)) == 16
     assert len(calls) == 1
+
+
+def test_large_clusters_are_taken_apart_by_keys(spark, monkeypatch):
+    rng = random.Random(11)
+    short = ["".join(rng.choice("abc") for _ in range(rng.randint(7, 19))) for _ in range(260)]
+    docs = [(i, "\n".join(rng.choice(short) + rng.choice(["", "", "x", "é"]) for _ in range(6))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = {k: v for k, v in brute(docs).items()}
+    met = []
+    for large, hot, many, pairs in ((0, 10**6, 48, 10**6), (0, 10**6, 2, 10), (5, 4, 4, 10)):
+        for name, value in (("LARGE", large), ("HOT", hot), ("MANY", many), ("PAIRS", pairs)):
+            monkeypatch.setattr(lines, name, value)
+        got = {r.doc_id: (r.n_lines, list(r.removed)) for r in lines.dedup_lines(df).collect()}
+        assert got == {k: (n, sorted(gone)) for k, (n, gone) in want.items()}
+    # Lines of a chain of segments meet no line that they share no segment with.
+    rows = [(k, i, b"%08d%08d" % (k, k + d)) for k in range(300) for i, d in ((k, 0), (k + 1, 7))]
+    monkeypatch.setattr(lines, "MANY", 48)
+    monkeypatch.setattr(lines, "distance_within", lambda a, b, most: met.append(1))
+    import numpy as np
+
+    assert list(lines.key_join(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], 2, 8)) == [] and len(met) <= 300
